@@ -12,6 +12,8 @@ import pyarrow.compute  # noqa: F401  pa.compute is there only once imported
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Words are runs of anything but these six ASCII characters (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that an Arrow batch may have; texts can be long, so far less than Spark's default of 10,000.
@@ -82,6 +84,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches that hold long texts in bounded memory."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
