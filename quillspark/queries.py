@@ -1,6 +1,208 @@
-"""The registered queries of the search engine and their SQL."""
+"""The registered queries of the search engine, over the driver's tables, and the SQL that some are held against.
+
+The document index has text (analysed) with lang and source as string filters and n_chars as a number; part and
+lineitem serve as metadata tables with several values a record.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.analysis import STOP_WORDS
+from .operators.aggregate import bounds, bucket_frame, range_key, stats_frame
+from .operators.filters import compile_filter
+from .operators.search import Searcher
+from .operators.trace import trace_frame
+from .sources.index import FullTextIndex, Options, Tables, as_records, build, validate_options
+from .streaming.ingest import publish_batch
+
+DOCUMENTS = validate_options([{"name": "text"}], [{"name": "lang", "type": "string"}, {"name": "source", "type": "string"}, {"name": "n_chars", "type": "number"}], surface_terms=True)
+PARTS = validate_options([{"name": "name"}], [{"name": "brand", "type": "string"}, {"name": "price", "type": "number"}, {"name": "size", "type": "number"}, {"name": "quantity", "type": "number"}, {"name": "flag", "type": "string"}])
+
+_built: dict[tuple[str, str, str], Tables] = {}
+
+
+def document_records(spark: SparkSession, sf_dir: str, options: Options = DOCUMENTS) -> DataFrame:
+    return as_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), options, id_col="doc_id")
+
+
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.collect_list("l_quantity").alias("quantity"), F.collect_set("l_returnflag").alias("flag"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return as_records(parts, PARTS, id_col="p_partkey", fields={"name": "p_name"}, filters={"brand": "p_brand", "price": "p_retailprice", "size": "p_size"})
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, make: Callable, options: Options) -> Searcher:
+    """The table's index, built once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        _built[key] = build(make(spark, sf_dir), options)
+    return Searcher(_built[key])
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Searcher:
+    return _index(spark, sf_dir, "documents", document_records, DOCUMENTS)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Searcher:
+    return _index(spark, sf_dir, "parts", part_records, PARTS)
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def _search(req: dict) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _scores(documents(spark, sf_dir).matches(req))
+
+
+def _ids(req: dict) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: documents(spark, sf_dir).matches(req).select("id")
+
+
+def _filter(expr: dict) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: part_records(spark, sf_dir).where(compile_filter(expr, PARTS.kinds)).select("id")
+
+
+# A tokeniser in SQL for ASCII words: folded runs of letters and digits, stop words out, under 40 bytes. The words
+# asked for are their own stems in this corpus.
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+_TOKENS = rf"""
+raw AS (SELECT doc_id::VARCHAR AS id, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+')) AS w FROM documents),
+tok AS (SELECT id, w FROM raw WHERE w NOT IN ({_STOP}) AND strlen(w) < 40),
+len AS (SELECT id, count(*) AS len FROM tok GROUP BY id),
+n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tok) AS total)"""
+
+
+def _bm25(terms: dict[str, list[str]], having: str = "") -> str:
+    """SQL for the sum of BM25 over terms, each given by the surface forms whose stem it is."""
+    cases = " ".join(f"WHEN w IN ({', '.join(repr(x) for x in forms)}) THEN {k}" for k, forms in enumerate(terms.values()))
+    return f"""WITH {_TOKENS},
+hit AS (SELECT id, CASE {cases} END AS k, count(*) AS tf FROM tok GROUP BY ALL HAVING k IS NOT NULL),
+df AS (SELECT k, count(*) AS df FROM hit GROUP BY k)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n))))::FLOAT::DOUBLE, 4) AS score
+FROM hit JOIN df USING (k) JOIN len USING (id), n GROUP BY id {having}"""
+
+
+_PART = """WITH v AS (SELECT l_partkey, list(l_quantity) AS quantity, list(DISTINCT l_returnflag) AS flag FROM lineitem GROUP BY 1),
+p AS (SELECT p_partkey::VARCHAR AS id, p_brand AS brand, p_retailprice AS price, p_size AS size, coalesce(quantity, []) AS quantity, coalesce(flag, []) AS flag FROM part LEFT JOIN v ON p_partkey = l_partkey)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, run: Callable, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+# Match modes; the words are of the corpus.
+_TWO = {"thand": ["thand"], "heon": ["heon"]}
+_add("m1_any", _search({"text": "thand heon", "mode": "any"}), _bm25(_TWO))
+_add("m2_all", _search({"text": "thand heon", "mode": "all"}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
+_add("m3_phrase", _ids({"text": "thand heon", "mode": "phrase"}))
+_add("m4_prefix", _ids({"text": "thandr", "mode": "prefix"}), rf"WITH {_TOKENS}, s AS (SELECT DISTINCT id FROM raw WHERE w LIKE 'thandr%' AND strlen(w) < 40) SELECT id FROM s")
+_add("m5_fuzzy", _ids({"text": "thand", "mode": "fuzzy"}))
+_add("m6_fuzzy_prefix", _ids({"text": "thandr", "mode": "fuzzy-prefix"}))
+_add("b1_and", _search({"query": {"operator": "and", "clauses": [{"text": "thand"}, {"text": "heon"}]}}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
+_add("b2_or", _search({"query": {"operator": "or", "clauses": [{"text": "thand"}, {"text": "heon"}]}}), _bm25(_TWO))
+_add("b3_not", _search({"query": {"operator": "not", "clause": {"text": "thand heon"}}}), f"SELECT doc_id::VARCHAR AS id, 0.0::DOUBLE AS score FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM ({_bm25(_TWO)}))")
+_add("b4_boost", _search({"query": {"operator": "boost", "boost": 2, "clause": {"text": "thand heon"}}}), _bm25(_TWO).replace("round(sum(", "round((2 * sum(").replace(")::FLOAT", "))::FLOAT"))
+_add("b5_optional", _search({"query": {"operator": "optional", "required": {"text": "thand"}, "optional": [{"text": "heon"}]}}), _bm25(_TWO, "HAVING bool_or(k = 0)"))
+_add("b6_candidates", _search({"text": "thand heon", "candidateIds": [str(k) for k in range(100, 400)]}), f"SELECT * FROM ({_bm25(_TWO)}) WHERE id::BIGINT BETWEEN 100 AND 399")
+_add("b7_filter", _search({"text": "thand heon", "filter": {"operator": "and", "clauses": [{"field": "lang", "comparator": "equals", "value": "en"}, {"field": "n_chars", "comparator": "ge", "value": 2000}]}}), f"SELECT x.* FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR WHERE lang = 'en' AND n_chars >= 2000")
+_add("t1_top_k", lambda spark, d: _scores(documents(spark, d).ranked({"text": "thand heon", "limit": 50})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 50")
+_add("t2_window", lambda spark, d: _scores(documents(spark, d).ranked({"text": "thand heon", "offset": 5, "limit": 10})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 10 OFFSET 5")
+_add("t4_total", lambda spark, d: documents(spark, d).matches({"text": "thand heon"}).agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM ({_bm25(_TWO)})")
+_add("t5_sort", lambda spark, d: documents(spark, d).ranked({"text": "thand heon", "sort": [{"field": "lang", "direction": "desc", "missing": "last"}, {"field": "n_chars", "direction": "asc", "missing": "first"}], "limit": 25}).select("id"), f"SELECT x.id FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR ORDER BY lang DESC, n_chars, x.id LIMIT 25")
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyset traversal: three pages of ten."""
+    s, req, rows = documents(spark, sf_dir), {"text": "thand heon", "limit": 10}, []
+    for k in range(3):
+        got = s.search_page(req)
+        rows += [(k, h["id"]) for h in got["hits"]]
+        if "continuation" not in got:
+            break
+        req = req | {"continuation": got["continuation"]}
+    return spark.createDataFrame(rows, "page int, id string")
+
+
+_add("t6_pages", _page, f"SELECT ((row_number() OVER (ORDER BY score DESC, id) - 1) // 10)::INTEGER AS page, id FROM ({_bm25(_TWO)}) QUALIFY page < 3")
+
+# Filters over records of several values.
+for _name, _expr, _sql in (
+    ("f1_equals", {"field": "flag", "comparator": "equals", "value": "R"}, "list_contains(flag, 'R')"),
+    ("f2_in", {"field": "brand", "comparator": "in", "value": ["Brand#11", "Brand#23", "Brand#45"]}, "brand IN ('Brand#11', 'Brand#23', 'Brand#45')"),
+    ("f3_lt", {"field": "price", "comparator": "lt", "value": 1000}, "price < 1000"),
+    ("f4_le", {"field": "size", "comparator": "le", "value": 10}, "size <= 10"),
+    ("f5_gt", {"field": "quantity", "comparator": "gt", "value": 49}, "list_max(quantity) > 49"),
+    ("f6_ge", {"field": "size", "comparator": "ge", "value": 40}, "size >= 40"),
+    ("f7_between", {"field": "quantity", "comparator": "between", "value": [10, 11]}, "len(list_filter(quantity, lambda q: q BETWEEN 10 AND 11)) > 0"),
+    ("f8_exists", {"field": "flag", "comparator": "exists"}, "len(flag) > 0"),
+    ("f9_missing", {"field": "quantity", "comparator": "missing"}, "len(quantity) = 0"),
+    ("f10_and", {"operator": "and", "clauses": [{"field": "size", "comparator": "ge", "value": 10}, {"field": "flag", "comparator": "equals", "value": "A"}]}, "size >= 10 AND list_contains(flag, 'A')"),
+    ("f11_or", {"operator": "or", "clauses": [{"field": "size", "comparator": "le", "value": 3}, {"field": "price", "comparator": "gt", "value": 1800}]}, "size <= 3 OR price > 1800"),
+    ("f12_not", {"operator": "not", "clause": {"field": "flag", "comparator": "equals", "value": "N"}}, "NOT list_contains(flag, 'N')"),
+):
+    _add(_name, _filter(_expr), f"{_PART} SELECT id FROM p WHERE {_sql}")
+
+# Facets.
+_add("g1_terms", lambda spark, d: bucket_frame(part_records(spark, d), {"type": "terms", "field": "flag"}), f"{_PART} SELECT unnest(flag) AS key, count(*) AS count FROM p GROUP BY 1")
+_add("g2_stats", lambda spark, d: stats_frame(part_records(spark, d), "quantity"), f"{_PART} SELECT count(q) AS count, coalesce(sum(q), 0) AS sum, min(q) AS min, max(q) AS max, avg(q) AS avg FROM (SELECT unnest(quantity) AS q FROM p)")
+_add("g3_histogram", lambda spark, d: bucket_frame(part_records(spark, d), {"type": "histogram", "field": "quantity", "interval": 10}), f"{_PART} SELECT key, count(*) AS count FROM (SELECT id, unnest(list_distinct(list_transform(quantity, lambda q: floor(q / 10.0) * 10.0))) AS key FROM p) GROUP BY key")
+_RANGES = [{"to": 10}, {"from": 10, "to": 30}, {"from": 30}]
+
+
+def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.lit(range_key(a, b)) for a, b in bounds(_RANGES)))
+    return bucket_frame(part_records(spark, sf_dir), {"type": "range", "field": "quantity", "ranges": _RANGES}).select(F.get(names, F.col("key")).alias("key"), "count")
+
+
+_add("g4_range", _range, f"{_PART} SELECT key, count(*) AS count FROM (SELECT id, unnest(list_distinct(list_transform(quantity, lambda q: CASE WHEN q < 10 THEN '*-10' WHEN q < 30 THEN '10-30' ELSE '30-*' END))) AS key FROM p) GROUP BY key")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested terms as one plan: a document counts once for each pair of buckets."""
+    return part_records(spark, sf_dir).select(F.explode("f_brand").alias("brand"), "f_flag").select("brand", F.explode("f_flag").alias("flag")).groupBy("brand", "flag").agg(F.count("*").alias("count"))
+
+
+_add("g5_nested", _nested, f"{_PART} SELECT brand, flag, count(*) AS count FROM (SELECT brand, unnest(flag) AS flag FROM p) GROUP BY ALL")
+_add("g6_count", lambda spark, d: part_records(spark, d).where(compile_filter({"field": "flag", "comparator": "exists"}, PARTS.kinds)).agg(F.count("*").alias("n")), f"{_PART} SELECT count(*) AS n FROM p WHERE len(flag) > 0")
+
+# Dictionary, tracing, mutations.
+_add("s4_dictionary_range", lambda spark, d: documents(spark, d).t.terms.where("surface and startswith(term, 'thand')").select("term", "df"), f"WITH {_TOKENS} SELECT w AS term, count(DISTINCT id) AS df FROM raw WHERE w LIKE 'thand%' AND strlen(w) < 40 GROUP BY w")
+_add("h1_trace", lambda spark, d: trace_frame({"text": "thand heon"}, document_records(spark, d), DOCUMENTS).select("id", F.size("spans").alias("n")), f"WITH {_TOKENS} SELECT id, count(*)::INTEGER AS n FROM tok WHERE w IN ('thand', 'heon') GROUP BY id")
+
+
+def _mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest two batches into a stored index, the second with an update and deletes; ids that it then holds."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+    index = FullTextIndex.open(spark, f"{root}/index-{uuid.uuid4().hex}", DOCUMENTS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "id")
+    publish_batch(index, docs.withColumns({"op": F.lit("upsert"), "seq": F.lit(0)}), 0)
+    change = docs.withColumns({"op": F.when(F.col("id") % 3 == 0, "delete").otherwise("upsert"), "seq": F.lit(1), "text": F.concat("text", F.lit(" newcomer"))}).where("id % 2 = 0")
+    publish_batch(index, change, 1)
+    return Searcher(index.tables).matches({"text": "newcomer"}).select("id")
+
+
+_add("s7_publish", _mutate, "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).t.terms.where("surface").select("term").distinct()
+    from .operators.match import _near
+
+    return words.where(_near("thand", 1, True, False))
+
+
+_add("x5_edit_distance", _edits, f"WITH {_TOKENS} SELECT DISTINCT w AS term FROM raw WHERE strlen(w) < 40 AND length(w) BETWEEN 4 AND 6 AND damerau_levenshtein(w, 'thand') <= 1")
