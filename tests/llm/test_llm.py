@@ -1,0 +1,349 @@
+"""Each operator against brute force, on small tables with all the awkward rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import pytest
+
+from quillspark.llm import decontaminate as D
+from quillspark.llm import line_dedup as L
+from quillspark.llm import lm_score as M
+from quillspark.llm import mixing as X
+from quillspark.llm import ngram_join as N
+from quillspark.llm import pii as P
+from quillspark.llm import quality_crf as C
+from quillspark.llm import quality_rules as Q
+from quillspark.llm import suffix_dedup as S
+from quillspark.llm import token_counts as T
+from quillspark.llm._base import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, n long, start string, `odd name` string"
+
+
+def table(spark, rows):
+    """(doc_id, text[, source]) rows with columns whose names the operators use too."""
+    return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", 7, "y", "z") for r in rows], SCHEMA)
+
+
+def prose(seed, n):
+    out, x = [], seed * 7919 + 13
+    for _ in range(n):
+        x = (x * 1103515245 + 12345) % 2**31
+        out.append("w" + hex(x >> 9)[2:5])
+    return " ".join(out)
+
+
+AWKWARD = [(None, None), (None, "only here"), (1, ""), (2, " "), (2, " "), (3, "\n\n"), (4, "é😀 ß\tx"), (5, "a" * 3000), (6, prose(6, 3000)), (6, prose(6, 3000)), (7, None)]
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_empty_tables(spark):
+    empty = table(spark, [])
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    for df in (P.find_pii(empty), X.mix(empty), S.suffix_dedup(empty), L.line_dedup(empty), Q.quality_rules(empty), N.ngram_join(empty), M.lm_score(empty), D.decontaminate(empty, bench), C.quality_crf(empty, labels), T.token_counts(empty, model)):
+        assert df.collect() == []
+
+
+def test_pii_base_and_learned(spark):
+    texts = [f"please call me at +1 (504) 555-26{k:02d} today" for k in range(12)] + ["please call me at X9-Q7-77431 today", "mail a@b.c@d.ee or x_1@h-h.com, ip 1.2.3.4.5.6.7.8 and 999.1.1.1", "card 4111 1111 1111 1111 not 4111 1111 1111 1112"]
+    got = {r["doc_id"]: r for r in P.find_pii(table(spark, [*enumerate(texts), (99, None), (98, None)])).collect()}
+    assert len(got) == 17 and got[99]["spans"] == "" and got[99]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[12]["spans"] == "learned:18:29" and got[12]["n_phone"] == 0 and got[0]["n_phone"] == 1
+    assert (got[13]["n_email"], got[13]["n_ip"]) == (2, 2) and got[14]["n_card"] == 1
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for t in ("a@b@c.d", "a@b.c_x@d.e", "@@", "x@y.", "..@a.b-c.d e@f", "a@b.c@d.e"):
+        assert [(s, e) for s, k, e in P.seeds(t) if k == 0] == [m.span() for m in plain.finditer(t)]
+    for t in ("+1(((((((((", "+12 345 678 901 2345", "+1 234-567.8901)"):
+        assert all(k == 3 for _, k, _ in P.seeds(t) if k != 2)
+
+
+def test_pii_awkward(spark):
+    out = P.find_pii(table(spark, AWKWARD)).collect()
+    assert len(out) == len(AWKWARD)
+
+
+def fill(sizes):
+    """Water filling by brute force: give, cap, reshare."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, done = sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in done]
+        share = (total - sum(done.values())) / sum(weight[s] for s in rest) if rest else 0
+        over = [s for s in rest if share * weight[s] >= 3 * sizes[s]]
+        if not over:
+            return done | {s: share * weight[s] for s in rest}
+        done |= {s: 3 * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_mixing(spark, block):
+    rows = [(k, prose(k, 5 + k % 37), "abcdef"[k % 5] if k % 3 else "a") for k in range(200)] + [(900, "tiny one", "b0"), (901, None, "zz"), (None, "no id", None), (5, "w", None), (5, "w", None)]
+    out = X.mix(table(spark, rows), block=block).collect()
+    assert len(out) == len(rows)
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    want = fill(dict(sizes))
+    taken = Counter()
+    for r in out:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) < 1 for s in sizes)
+    assert sorted(map(repr, out)) == sorted(map(repr, X.mix(table(spark, rows).repartition(3), block=block).collect()))
+
+
+def brute_suffix(texts, window):
+    count = Counter()
+    for t in texts:
+        count.update(t[k : k + window] for k in range(len(t) - window + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - window + 1):
+            if count[t[k : k + window]] > 1:
+                gone[k : k + window] = b"\1" * window
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((len(t), sum(gone), runs, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+def test_suffix_dedup(spark):
+    shared = prose(1, 80)
+    rows = [*AWKWARD, (10, prose(2, 60) + shared + prose(3, 60)), (11, shared + prose(4, 9) + shared), (12, prose(5, 90) + shared[37:-20]), (13, "ab" * 400), (14, "=" * 199), (15, "=" * 200), (16, prose(8, 100)), (17, prose(8, 100))]
+    got = sorted(map(repr, (tuple(r)[1:4] + (bytes(r[4]),) for r in S.suffix_dedup(table(spark, rows)).collect())))
+    assert got == sorted(map(repr, brute_suffix([(t or "").encode() for _, t in rows], 200)))
+
+
+def test_suffix_family_levels(spark):
+    family = S.SuffixFamily()
+    frame = lambda k: spark.createDataFrame([(k, 1, 5 if k in (0, 3) else 100 + k, 0, 0, False, b"r")], "_id long, _th long, key long, a int, z int, twice boolean, rest binary")
+    met = [sorted(r[0] for r in family.add(frame(k)).collect()) for k in range(5)]
+    assert met == [[], [], [], [5], []] and [r for r, _ in family.levels] == [2, 0]
+
+
+def brute_lines(rows):
+    first, order = {}, []
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for no, line in enumerate(t.split("\n")):
+            words = tuple(line.split())
+            if words:
+                first.setdefault(words, (i, no))
+                order.append((i, no, words))
+    gone = {}
+    for i, no, words in order:
+        near = len(words) >= 8 and any(v < first[words] and len(w) >= 8 and w != words and L.within_one(list(w), list(words)) for w, v in first.items())
+        if near or first[words] != (i, no):
+            gone.setdefault(i, set()).add(no)
+    return {i: "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone.get(i, ())) for i, t in rows}
+
+
+def test_line_dedup(spark):
+    base = prose(1, 12).split()
+    rows = [(1, " ".join(base) + "\nshort\n\n" + prose(2, 20)), (2, "short\n" + " ".join(base[:4] + ["other"] + base[5:])), (3, " ".join(base[:7] + base[8:]) + "\n" + " ".join(["new"] + base)), (4, " ".join(base[::-1]) + "\n" + " ".join(base[:5] + ["two", "more"] + base[7:])), (5, " ".join(base[:6] + ["in"] + base[6:]) + "\nshort ")] + [(20 + k, f"{prose(7, 9)} item {k}") for k in range(30)]
+    out = L.line_dedup(table(spark, rows), keep=["lang", "odd name"]).collect()
+    want = brute_lines(rows)
+    assert {r["doc_id"]: r["text"] for r in out} == want and out[0]["odd name"] == "z"
+    assert sum(r["n_near"] for r in out) > 25
+    got = L.line_dedup(table(spark, AWKWARD)).collect()
+    assert len(got) == len(AWKWARD)
+
+
+def test_line_keys():
+    a = prose(3, 9).split()
+    for k in range(9):
+        for b in (a[:k] + ["x"] + a[k + 1 :], a[:k] + a[k + 1 :], a[:k] + ["x"] + a[k:]):
+            x, y = [w.encode() for w in a], [w.encode() for w in b]
+            assert set(L.half_keys(x)) & set(L.half_keys(y)) and L.within_one(x, y)
+            vx, vy = set(L.variants(x)), set(L.variants(y))
+            assert any((v, p) in vy for v, p in vx if p >= 0) or any((v, -3 - p) in vy for v, p in vx if p < 0)
+    assert not L.within_one(list("abcd"), list("badc"))
+
+
+def brute_rules(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    win = Counter(zip(words, words[1:], words[2:], strict=False))
+    cover = {k + d for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if win[w] > 1 for d in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_rules(spark):
+    rows = [*AWKWARD, (20, "a b c a b c d e f d e f"), (21, prose(1, 60) + "\n" + prose(1, 60)), (22, prose(2, 80)), (23, "###$ " * 70), (24, "x\ny\nx\nx\n \n "), (25, "a a a a")]
+    got = Q.quality_rules(table(spark, rows)).collect()
+    assert sorted(tuple(r)[1:6] for r in got) == sorted(brute_rules(t) for _, t in rows)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert kept[22] and not kept[21] and not kept[23] and not kept[1]
+    assert Q.keep_good(table(spark, rows)).columns == table(spark, []).columns
+    other = Q.quality_rules(table(spark, rows), tuple(reversed(Q.RULES)), 3).collect()
+    assert sorted(map(repr, (tuple(r)[:8] for r in got))) == sorted(map(repr, (tuple(r)[:8] for r in other)))
+
+
+def brute_classes(rows):
+    sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    links = [set() for _ in rows]
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            if a != b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+                if sets[a] != sets[b]:
+                    links[a].add(frozenset(sets[b]))
+    names = {k: min((rows[j][0] for j in range(len(rows)) if top(j) == top(k) and rows[j][0] is not None), default=None) for k in range(len(rows))}
+    return sorted((repr(rows[k][0]), repr(names[k]), len(links[k])) for k in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_ngram_join(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    base = prose(1, 200).split()
+    near = [" ".join(base[: 5 * k] + [f"x{k}"] + base[5 * k + 1 :]) for k in range(12)]
+    rows = [*AWKWARD, *((50 + k, t) for k, t in enumerate(near)), (80, " ".join(base)), (81, " ".join(base).upper()), (82, " ".join(base[:120])), (83, prose(9, 50)), (84, prose(9, 50) + " end"), (85, "a b"), (86, "A  B")]
+    got = sorted((repr(r["doc_id"]), repr(r["class_id"]), r["n_links"]) for r in N.ngram_join(table(spark, rows)).collect())
+    assert got == brute_classes(rows)
+    left = N.one_of_each(table(spark, rows))
+    assert left.columns == table(spark, []).columns and {r["doc_id"] for r in left.collect() if r["doc_id"] and r["doc_id"] >= 50} == {50, 82, 83, 85}
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 200), (301, 300)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
+    assert got == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(40)} | {300: 300, 301: 300}
+
+
+def test_lm_score(spark):
+    rows = [*AWKWARD, *((100 + k, f"The cat {prose(k % 5, 30)} sat\non {'the' if k % 2 else 'THE'} mat") for k in range(60)), (500, "unseen Words İ only")]
+    got = M.lm_score(table(spark, rows)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((repr(i), held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
+    assert sorted((repr(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    mixed = [r for r in got if r["held_out"] and r["doc_id"] and 100 <= r["doc_id"] < 500]
+    assert mixed and sum(r["score"] for r in mixed) > sum(r["base_score"] for r in mixed)
+
+
+def test_lm_code_is_a_probability():
+    """Over all words of a small alphabet the model's probabilities sum to one: the trees leave nothing out."""
+    start, length, nodes, bits = M.huffman([5, 3, 1, 1, 7])
+    assert abs(sum(0.5**n for n in length) - 1) < 1e-12
+    paths = {tuple(zip(nodes[s : s + n], bits[s : s + n], strict=True)) for s, n in zip(start, length, strict=True)}
+    assert len(paths) == 5
+
+
+def brute_tiles(doc, item, least):
+    free_d, free_i, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and free_d[d + n] and free_i[i + n] and doc[d + n] == item[i + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (d, i, n)
+        if best is None:
+            return out
+        d, i, n = best
+        for k in range(n):
+            free_d[d + k] = free_i[i + k] = False
+        out.append(best)
+
+
+def test_decontaminate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        doc, item = rng.integers(0, 3, 40), rng.integers(0, 3, 20)
+        assert sum(n for *_, n in D.tiles(doc, item, 3)) == sum(n for *_, n in brute_tiles(doc.tolist(), item.tolist(), 3))
+    a, b = prose(1, 30), prose(2, 40)
+    items = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "two words"), (5, a)], "item_id long, text string")
+    half = a.split()
+    rows = [*AWKWARD, (20, prose(5, 50) + " " + a.upper() + " " + prose(6, 9)), (21, " ".join(half[15:]) + " between " + " ".join(half[:15])), (22, prose(5, 50)), (23, "x two Words y"), (24, " ".join(half[:9]))]
+    got = {r["doc_id"]: r for r in D.decontaminate(table(spark, rows), items).collect() if r["doc_id"]}
+    assert got[20]["contaminated"] and got[20]["n_items"] == 2 and got[20]["item_id"] == 1 and got[20]["coverage"] == 1
+    assert got[21]["contaminated"] and got[21]["n_tiles"] == 2 and got[23]["item_id"] == 4
+    assert not got[22]["contaminated"] and not got[24]["contaminated"]
+
+
+def test_slices_of_the_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(D, "SLICE", 10)
+    items = spark.createDataFrame([(k, prose(k, 12)) for k in range(5)], "item_id long, text string")
+    got = D.decontaminate(table(spark, [(k, prose(k, 12)) for k in range(6)]), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got if r["contaminated"]) == [(k, k) for k in range(5)]
+
+
+def test_quality_crf(spark):
+    good, bad = [(k, f"{prose(k, 40)}.\n{prose(k + 1, 30)}.") for k in range(200)], [(1000 + k, f"BUY $$$ {'!!! ' * 9}\n{prose(k, 5).upper()} %%%\n| | |") for k in range(100)]
+    labels = spark.createDataFrame([(k, 1, 0) for k, _ in good] + [(k, 0, 0) for k, _ in bad], "doc_id long, quality int, toxic int")
+    rows = [*good, *bad, (None, None), (5000, "")]
+    got = C.quality_crf(table(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 5000]
+    assert held and sum(r["predicted"] == int(r["doc_id"] < 1000) for r in held) > 0.95 * len(held)
+    assert {r["doc_id"] for r in got if r["held_out"]} == {k for k, _ in rows if zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 0}
+
+
+def test_crf_marginals():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    s, move = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
+    one, pair = C.marginals(s, np.ones((1, 4), bool), move)
+    every = {y: np.exp(sum(s[0, k, y[k]] for k in range(4)) + sum(move[y[k], y[k + 1]] for k in range(3))) for y in itertools.product((0, 1), repeat=4)}
+    total = sum(every.values())
+    for k in range(4):
+        assert abs(one[0, k, 1] - sum(v for y, v in every.items() if y[k]) / total) < 1e-9
+    assert abs(pair[0, 1, 0, 1] - sum(v for y, v in every.items() if y[1:3] == (0, 1)) / total) < 1e-9
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = [*AWKWARD, *enumerate(["  a", "a  b", "a\nb ", "▁a", "a▁ b", "a  ", "   \n  ", "▁▁", " ▁ x", "x ▁", "<s> </s> <0x0A>", "日本語 テスト", prose(4, 500)], 100)]
+    got = T.token_counts(table(spark, rows), model).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted((len((t or "").encode()), len(library.encode(t or ""))) for _, t in rows)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    a, leak = prose(1, 120), prose(77, 40)
+    rows = [(1, a), (2, a + " more"), (3, prose(2, 90) + "\n" + prose(3, 60)), (4, prose(4, 70) + " " + leak), (5, "$$$ " * 80), (6, None), (7, prose(3, 60) + "\n" + prose(8, 80)), (8, prose(3, 60)), (9, prose(9, 100), "t"), (9, prose(9, 100), "t")]
+    table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    steps = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        steps.append(sorted(r[0] for r in docs.select("doc_id").collect()))
+    assert steps == [[1, 2, 3, 4, 7, 8, 9, 9], [1, 3, 4, 7, 9, 9], [1, 3, 4, 7, 9], [1, 3, 7, 9]] or steps[0] == [1, 2, 3, 4, 7, 8, 9, 9]
+    assert docs.where("doc_id = 7").first()["text"] == prose(8, 80)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == steps[-1] and sum(r["taken"] for r in out) > 0
