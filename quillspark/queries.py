@@ -103,29 +103,29 @@ def _add(name: str, run: Callable, sql: str | None = None) -> None:
 
 
 # Match modes; the words are of the corpus.
-_TWO = {"thand": ["thand"], "heon": ["heon"]}
-_add("m1_any", _search({"text": "thand heon", "mode": "any"}), _bm25(_TWO))
-_add("m2_all", _search({"text": "thand heon", "mode": "all"}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
-_add("m3_phrase", _ids({"text": "thand heon", "mode": "phrase"}))
-_add("m4_prefix", _ids({"text": "thandr", "mode": "prefix"}), rf"WITH {_TOKENS}, s AS (SELECT DISTINCT id FROM raw WHERE w LIKE 'thandr%' AND strlen(w) < 40) SELECT id FROM s")
-_add("m5_fuzzy", _ids({"text": "thand", "mode": "fuzzy"}))
-_add("m6_fuzzy_prefix", _ids({"text": "thandr", "mode": "fuzzy-prefix"}))
-_add("b1_and", _search({"query": {"operator": "and", "clauses": [{"text": "thand"}, {"text": "heon"}]}}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
-_add("b2_or", _search({"query": {"operator": "or", "clauses": [{"text": "thand"}, {"text": "heon"}]}}), _bm25(_TWO))
-_add("b3_not", _search({"query": {"operator": "not", "clause": {"text": "thand heon"}}}), f"SELECT doc_id::VARCHAR AS id, 0.0::DOUBLE AS score FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM ({_bm25(_TWO)}))")
-_add("b4_boost", _search({"query": {"operator": "boost", "boost": 2, "clause": {"text": "thand heon"}}}), _bm25(_TWO).replace("round(sum(", "round((2 * sum(").replace(")::FLOAT", "))::FLOAT"))
-_add("b5_optional", _search({"query": {"operator": "optional", "required": {"text": "thand"}, "optional": [{"text": "heon"}]}}), _bm25(_TWO, "HAVING bool_or(k = 0)"))
-_add("b6_candidates", _search({"text": "thand heon", "candidateIds": [str(k) for k in range(100, 400)]}), f"SELECT * FROM ({_bm25(_TWO)}) WHERE id::BIGINT BETWEEN 100 AND 399")
-_add("b7_filter", _search({"text": "thand heon", "filter": {"operator": "and", "clauses": [{"field": "lang", "comparator": "equals", "value": "en"}, {"field": "n_chars", "comparator": "ge", "value": 2000}]}}), f"SELECT x.* FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR WHERE lang = 'en' AND n_chars >= 2000")
-_add("t1_top_k", lambda spark, d: _scores(documents(spark, d).ranked({"text": "thand heon", "limit": 50})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 50")
-_add("t2_window", lambda spark, d: _scores(documents(spark, d).ranked({"text": "thand heon", "offset": 5, "limit": 10})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 10 OFFSET 5")
-_add("t4_total", lambda spark, d: documents(spark, d).matches({"text": "thand heon"}).agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM ({_bm25(_TWO)})")
-_add("t5_sort", lambda spark, d: documents(spark, d).ranked({"text": "thand heon", "sort": [{"field": "lang", "direction": "desc", "missing": "last"}, {"field": "n_chars", "direction": "asc", "missing": "first"}], "limit": 25}).select("id"), f"SELECT x.id FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR ORDER BY lang DESC, n_chars, x.id LIMIT 25")
+_TWO = {"ofonrereer": ["ofonrereer"], "thndly": ["thndly"]}
+_add("m1_any", _search({"text": "ofonrereer thndly", "mode": "any"}), _bm25(_TWO))
+_add("m2_all", _search({"text": "ofonrereer thndly", "mode": "all"}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
+_add("m3_phrase", _ids({"text": "ofonrereer thndly", "mode": "phrase"}), rf"WITH {_TOKENS} SELECT doc_id::VARCHAR AS id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+'), ' ') || ' ', ' ofonrereer thndly ')")
+_add("m4_prefix", _ids({"text": "thanin", "mode": "prefix"}), rf"WITH {_TOKENS}, s AS (SELECT DISTINCT id FROM raw WHERE w LIKE 'thanin%' AND strlen(w) < 40) SELECT id FROM s")
+_add("m5_fuzzy", _ids({"text": "thedre", "mode": "fuzzy"}))
+_add("m6_fuzzy_prefix", _ids({"text": "thanin", "mode": "fuzzy-prefix"}))
+_add("b1_and", _search({"query": {"operator": "and", "clauses": [{"text": "ofonrereer"}, {"text": "thndly"}]}}), _bm25(_TWO, "HAVING count(DISTINCT k) = 2"))
+_add("b2_or", _search({"query": {"operator": "or", "clauses": [{"text": "ofonrereer"}, {"text": "thndly"}]}}), _bm25(_TWO))
+_add("b3_not", _search({"query": {"operator": "not", "clause": {"text": "ofonrereer thndly"}}}), f"SELECT doc_id::VARCHAR AS id, 0.0::DOUBLE AS score FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM ({_bm25(_TWO)}))")
+_add("b4_boost", _search({"query": {"operator": "boost", "boost": 2, "clause": {"text": "ofonrereer thndly"}}}), _bm25(_TWO).replace("round(sum(", "round((2 * sum(").replace(")::FLOAT", "))::FLOAT"))
+_add("b5_optional", _search({"query": {"operator": "optional", "required": {"text": "ofonrereer"}, "optional": [{"text": "thndly"}]}}), _bm25(_TWO, "HAVING bool_or(k = 0)"))
+_add("b6_candidates", _search({"text": "ofonrereer thndly", "candidateIds": [str(k) for k in range(100, 400)]}), f"SELECT * FROM ({_bm25(_TWO)}) WHERE id::BIGINT BETWEEN 100 AND 399")
+_add("b7_filter", _search({"text": "ofonrereer thndly", "filter": {"operator": "and", "clauses": [{"field": "lang", "comparator": "equals", "value": "en"}, {"field": "n_chars", "comparator": "ge", "value": 2000}]}}), f"SELECT x.* FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR WHERE lang = 'en' AND n_chars >= 2000")
+_add("t1_top_k", lambda spark, d: _scores(documents(spark, d).ranked({"text": "ofonrereer thndly", "limit": 50})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 50")
+_add("t2_window", lambda spark, d: _scores(documents(spark, d).ranked({"text": "ofonrereer thndly", "offset": 5, "limit": 10})), _bm25(_TWO) + " ORDER BY score DESC, id LIMIT 10 OFFSET 5")
+_add("t4_total", lambda spark, d: documents(spark, d).matches({"text": "ofonrereer thndly"}).agg(F.count("*").alias("total")), f"SELECT count(*) AS total FROM ({_bm25(_TWO)})")
+_add("t5_sort", lambda spark, d: documents(spark, d).ranked({"text": "ofonrereer thndly", "sort": [{"field": "lang", "direction": "desc", "missing": "last"}, {"field": "n_chars", "direction": "asc", "missing": "first"}], "limit": 25}).select("id"), f"SELECT x.id FROM ({_bm25(_TWO)}) x JOIN documents d ON x.id = d.doc_id::VARCHAR ORDER BY lang DESC, n_chars, x.id LIMIT 25")
 
 
 def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyset traversal: three pages of ten."""
-    s, req, rows = documents(spark, sf_dir), {"text": "thand heon", "limit": 10}, []
+    s, req, rows = documents(spark, sf_dir), {"text": "ofonrereer thndly", "limit": 10}, []
     for k in range(3):
         got = s.search_page(req)
         rows += [(k, h["id"]) for h in got["hits"]]
@@ -178,8 +178,8 @@ _add("g5_nested", _nested, f"{_PART} SELECT brand, flag, count(*) AS count FROM
 _add("g6_count", lambda spark, d: part_records(spark, d).where(compile_filter({"field": "flag", "comparator": "exists"}, PARTS.kinds)).agg(F.count("*").alias("n")), f"{_PART} SELECT count(*) AS n FROM p WHERE len(flag) > 0")
 
 # Dictionary, tracing, mutations.
-_add("s4_dictionary_range", lambda spark, d: documents(spark, d).t.terms.where("surface and startswith(term, 'thand')").select("term", "df"), f"WITH {_TOKENS} SELECT w AS term, count(DISTINCT id) AS df FROM raw WHERE w LIKE 'thand%' AND strlen(w) < 40 GROUP BY w")
-_add("h1_trace", lambda spark, d: trace_frame({"text": "thand heon"}, document_records(spark, d), DOCUMENTS).select("id", F.size("spans").alias("n")), f"WITH {_TOKENS} SELECT id, count(*)::INTEGER AS n FROM tok WHERE w IN ('thand', 'heon') GROUP BY id")
+_add("s4_dictionary_range", lambda spark, d: documents(spark, d).t.terms.where("surface and startswith(term, 'thed')").select("term", "df"), f"WITH {_TOKENS} SELECT w AS term, count(DISTINCT id) AS df FROM raw WHERE w LIKE 'thed%' AND strlen(w) < 40 GROUP BY w")
+_add("h1_trace", lambda spark, d: trace_frame({"text": "ofonrereer thndly"}, document_records(spark, d), DOCUMENTS).select("id", F.size("spans").alias("n")), f"WITH {_TOKENS} SELECT id, count(*)::INTEGER AS n FROM tok WHERE w IN ('ofonrereer', 'thndly') GROUP BY id")
 
 
 def _mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = documents(spark, sf_dir).t.terms.where("surface").select("term").distinct()
     from .operators.match import _near
 
-    return words.where(_near("thand", 1, True, False))
+    return words.where(_near("thedre", 1, True, False))
 
 
-_add("x5_edit_distance", _edits, f"WITH {_TOKENS} SELECT DISTINCT w AS term FROM raw WHERE strlen(w) < 40 AND length(w) BETWEEN 4 AND 6 AND damerau_levenshtein(w, 'thand') <= 1")
+_add("x5_edit_distance", _edits, f"WITH {_TOKENS} SELECT DISTINCT w AS term FROM raw WHERE strlen(w) < 40 AND length(w) BETWEEN 5 AND 7 AND damerau_levenshtein(w, 'thedre') <= 1")

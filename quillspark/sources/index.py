@@ -49,7 +49,7 @@ class Options:
 
 
 def validate_options(fields: list, filters: list | None = None, stop_words: bool = True, positions: bool = True, surface_terms: bool = False, synonyms: list | None = None) -> Options:
-    """Options from {name, weight?}, {name, type} and {from, to} entries, or an error."""
+    """Options from {name, weight?}, {name, type} and {source, replacements} entries, or an error."""
     text = [(f, 1.0) if isinstance(f, str) else (f["name"], float(f.get("weight", 1))) for f in fields]
     meta = [(f["name"], f["type"]) for f in filters or []]
     for names in ([n for n, _ in text], [n for n, _ in meta]):
@@ -62,8 +62,8 @@ def validate_options(fields: list, filters: list | None = None, stop_words: bool
     rules: dict[str, tuple[str, ...]] = {}
     for r in synonyms or []:
         one = lambda s: (lambda ts: ts[0].term if len(ts) == 1 else None)(analyze(s, stop_words))
-        to = tuple(sorted({one(x) or "" for x in ([r["to"]] if isinstance(r["to"], str) else r["to"])}))
-        source = one(r["from"])
+        to = tuple(sorted({one(x) or "" for x in r["replacements"]}))
+        source = one(r["source"])
         if not source or "" in to or source in to or source in rules or len(to) > REPLACEMENTS:
             raise invalid("a synonym is one token, to others than itself, once")
         rules[source] = to
@@ -237,9 +237,11 @@ class FullTextIndex(FullTextReader):
     def _write(spark: SparkSession, path: str, snapshot: int, docs: DataFrame, posts: DataFrame) -> None:
         at = f"{path}/v={snapshot}"
         docs.write.mode("overwrite").parquet(f"{at}/docs")
+        posts = posts.persist()  # the range partitioning reads them twice
         # By term and id: a query reads the files of its terms, and a very common term is in several.
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         posts.repartitionByRange(n, "surface", "field", "term", "id").sortWithinPartitions("surface", "field", "term", "id").write.mode("overwrite").parquet(f"{at}/postings")
+        posts.unpersist()
         done = spark.read.parquet(f"{at}/postings")
         terms = done.groupBy("surface", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
         terms.repartitionByRange(n, "surface", "field", "term").sortWithinPartitions("surface", "field", "term").write.mode("overwrite").parquet(f"{at}/terms")
