@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -53,6 +54,9 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_clean, spark)
     _scratch.add(path)
     df.write.parquet(path)
+    # What the written plan shuffled isn't read again; its files go once the driver sees that no plan holds them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path  # type: ignore[attr-defined]
     return out
