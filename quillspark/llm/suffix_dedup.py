@@ -8,18 +8,20 @@ runs are the suffixes of the arrays, in the order of that hash and of what follo
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ._base import arrow_map, chunks, drop, keyed, stash
 
 #: Bytes of a match, bytes of the sampled strings, and batches that a whole table is dealt to.
 WINDOW, K, BATCHES = 200, 32, 4
+#: Bytes that the rests of a key have in one row at about most; keys with more are dealt to several rows.
+TOGETHER = 1 << 15
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(9_973).integers(0, 2**63, 256, np.uint64)
@@ -71,12 +73,13 @@ def runs(data: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _digest(data: bytes) -> int:
+    """64 bits, always held together with a key of 64 other bits."""
+    return xxh3_64_intdigest(data) - 2**63
 
 
 def _suffixes(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
     for b in chunks(batches):
         rows = []
         for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -123,19 +126,59 @@ class SuffixFamily:
         return out.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.max("twice").alias("twice"))
 
 
-def _windows(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of contested entries: each digest, and where in its entry it begins."""
+def _pieces(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of contested entries."""
     for b in chunks(batches):
-        cols: list[list] = [[], [], [], [], []]
+        at, keys, rests, whole, data = [], [], [], [], []
         for text, picks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            data = text.encode()
+            text = text.encode()
             for p in picks:
-                for k in range(p["z"] - p["a"] + 1):
-                    row = (_digest(data[p["a"] + k : p["a"] + k + window]), p["key"], p["rest"], k, p["whole"])
-                    for c, x in zip(cols, row, strict=True):
+                at.append(p["deals"])
+                keys.append(p["key"])
+                rests.append(p["rest"])
+                whole.append(p["whole"])
+                data.append(text[p["a"] : p["z"] + window])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys, pa.int64()), pa.array(rests, pa.int64()), pa.array(whole, pa.bool_()), pa.array(data, pa.binary())], names=["deals", "key", "rest", "whole", "data"])
+
+
+def islands(places: list[int]) -> list[dict]:
+    """Runs of places in a row, from ascending places."""
+    out: list[dict] = []
+    for k in places:
+        if out and out[-1]["hi"] == k - 1:
+            out[-1]["hi"] = k
+        else:
+            out.append({"lo": k, "hi": k})
+    return out
+
+
+_ISLANDS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+
+def _together(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of a key's entries in one deal held against each other: islands of those that match.
+
+    Where there are other deals, each different window follows with a digest for the deals to be held against each other,
+    and with its place if it hasn't matched yet.
+    """
+    kinds = (pa.int64(), pa.int64(), _ISLANDS, pa.int64(), pa.int32())
+    for b in batches:
+        for key, deals, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cols: list[list] = [[], [], [], [], []]
+            seen: dict[bytes, tuple | None] = {}
+            cut = [[e["data"][k : k + window] for k in range(len(e["data"]) - window + 1)] for e in entries]
+            for e, windows in zip(entries, cut, strict=True):
+                for k, w in enumerate(windows):
+                    seen[w] = None if w in seen or e["whole"] else (e["rest"], k)
+            for e, windows in zip(entries, cut, strict=True):
+                if not e["whole"] and (hit := [k for k, w in enumerate(windows) if seen[w] is None]):
+                    for c, x in zip(cols, (key, e["rest"], islands(hit), None, None), strict=True):
+                        c.append(x)
+            if deals > 1:
+                for w, place in seen.items():
+                    for c, x in zip(cols, (key, place and place[0], None, _digest(w), place and place[1]), strict=True):
                         c.append(x)
-        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["w", "key", "rest", "k", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "rest", "islands", "w", "k"])
 
 
 def _cut(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +214,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
     Every occurrence of a string that starts at two places or more goes, in whatever documents; matches never
     cross documents. The table is dealt to *batches* by a hash of its keys, and each batch is added to a SuffixFamily.
     Entries equal in (key, rest) are marked whole. Where a key has several rests, or a run may match itself, the windows
-    of one occurrence of each rest are compared by digest, and what matches holds for all its occurrences.
+    of one occurrence of each rest are compared, and what matches holds for all its occurrences. The rests of a key are
+    dealt to rows of about TOGETHER bytes; windows are compared within a row first, and by digest across rows.
     Null texts count as empty; texts under *window* bytes are kept; rows that repeat id and text are two places.
     """
     rows = keyed(docs)
-    arrays = arrow_map(rows.select("_id", "_th", "text"), lambda it: _suffixes(window, it), "_id long, _th long, key long, a int, z int, twice boolean, rest binary")
+    arrays = arrow_map(rows.select("_id", "_th", "text"), lambda it: _suffixes(window, it), "_id long, _th long, key long, a int, z int, twice boolean, rest long")
     arrays = stash(arrays.withColumn("batch", F.pmod(F.xxhash64("_id", "_th"), F.lit(batches)).cast("int")), "suffixes")
     family, met = SuffixFamily(), None
     for k in range(batches):
@@ -184,20 +228,23 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
     met = stash(met.distinct(), "suffix-met")
     entries = stash(family.entries().join(met, "key", "left_semi"), "suffix-entries")
     drop(*(level for _, level in family.levels))
-    several = entries.groupBy("key").agg(F.count("*").alias("rests"))
-    contested = entries.join(several, "key").where("rests > 1 or twice").select("key", "rest", "at", (F.col("n") > 1).alias("whole"))
-    picks = contested.select("at.*", "key", "rest", "whole").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "z", "key", "rest", "whole")).alias("picks"))
+    several = entries.groupBy("key").agg(F.count("*").alias("rests"), F.sum(F.col("at.z") - F.col("at.a") + window).alias("bytes"))
+    deals = F.ceil(F.col("bytes") / TOGETHER).cast("int").alias("deals")
+    contested = entries.join(several, "key").where("rests > 1 or twice").select("key", "rest", "at", (F.col("n") > 1).alias("whole"), deals)
+    picks = contested.select("at.*", "key", "rest", "whole", "deals").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "z", "key", "rest", "whole", "deals")).alias("picks"))
     texts = rows.select("_id", "_th", "text").join(picks, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "picks")
-    windows = stash(arrow_map(texts, lambda it: _windows(window, it), "w binary, key long, rest binary, k int, whole boolean"), "windows")
-    twice = windows.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w")
-    hit = windows.where("not whole").join(twice, "w").select("key", "rest", "k")
+    pieces = arrow_map(texts, lambda it: _pieces(window, it), "deals int, key long, rest long, whole boolean, data binary")
+    dealt = pieces.groupBy("key", "deals", F.pmod(F.xxhash64("rest"), F.col("deals")).alias("deal")).agg(F.collect_list(F.struct("rest", "whole", "data")).alias("entries"))
+    kind = "array<struct<lo:int,hi:int>>"
+    held = stash(arrow_map(dealt.select("key", "deals", "entries"), lambda it: _together(window, it), f"key long, rest long, islands {kind}, w long, k int"), "suffix-held")
+    twice = held.where("w is not null").groupBy("key", "w").agg(F.count("*").alias("m")).where("m > 1").select("key", "w")
+    hit = held.where("k is not null").select("key", "rest", "k", "w").join(twice, ["key", "w"]).groupBy("key", "rest").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     # Windows of an entry that match, as islands of places in a row.
-    parts = hit.groupBy("key", "rest").agg(F.sort_array(F.collect_set("k")).alias("ks"))
     beside = lambda k, i, step: F.coalesce(F.get("ks", i + step) == k + step, F.lit(False))
     starts = F.filter("ks", lambda k, i: ~beside(k, i, -1))
     ends = F.filter("ks", lambda k, i: ~beside(k, i, 1))
-    parts = parts.select("key", "rest", F.arrays_zip(starts.alias("lo"), ends.alias("hi")).alias("islands"))
-    whole = entries.where("n > 1").select("key", "rest", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("islands"))
+    parts = held.where("islands is not null").select("key", "rest", "islands").unionByName(hit.select("key", "rest", F.arrays_zip(starts.alias("lo"), ends.alias("hi")).alias("islands")))
+    whole = entries.where("n > 1").select("key", "rest", F.lit(None).cast(kind).alias("islands"))
     flags = stash(whole.unionByName(parts), "suffix-flags")
     marks = arrays.join(flags, ["key", "rest"]).select("_id", "_th", F.explode(F.when(F.col("islands").isNull(), F.array(F.struct(F.col("a").alias("lo"), F.col("z").alias("hi")))).otherwise(F.transform("islands", lambda x: F.struct((F.col("a") + x["lo"]).alias("lo"), (F.col("a") + x["hi"]).alias("hi"))))).alias("m"))
     marks = stash(marks.groupBy("_id", "_th").agg(F.collect_set("m").alias("marks")), "suffix-marks")

@@ -126,9 +126,15 @@ def test_suffix_dedup(spark):
     assert got == sorted(map(repr, brute_suffix([(t or "").encode() for _, t in rows], 200)))
 
 
+def test_suffix_dedup_in_deals(spark, monkeypatch):
+    """Keys whose rests are dealt to several rows give what others do."""
+    monkeypatch.setattr(S, "TOGETHER", 300)
+    test_suffix_dedup(spark)
+
+
 def test_suffix_family_levels(spark):
     family = S.SuffixFamily()
-    frame = lambda k: spark.createDataFrame([(k, 1, 5 if k in (0, 3) else 100 + k, 0, 0, False, b"r")], "_id long, _th long, key long, a int, z int, twice boolean, rest binary")
+    frame = lambda k: spark.createDataFrame([(k, 1, 5 if k in (0, 3) else 100 + k, 0, 0, False, 9)], "_id long, _th long, key long, a int, z int, twice boolean, rest long")
     met = [sorted(r[0] for r in family.add(frame(k)).collect()) for k in range(5)]
     assert met == [[], [], [], [5], []] and [r for r, _ in family.levels] == [2, 0]
 
