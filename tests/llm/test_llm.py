@@ -256,6 +256,46 @@ def test_lm_code_is_a_probability():
     assert len(paths) == 5
 
 
+def test_lm_contexts_are_counted_whole(monkeypatch):
+    """Each decision is answered from its own context's counts, however contexts are dealt to blocks and lanes."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "PAIRS", 7)
+    texts = [f"{prose(k % 4, 20 + k)} unseen{k}" for k in range(12)]
+    head = Counter(w for t in texts for w in M._tokens(t) if not w.startswith(b"unseen"))
+    coder = M.Coder(sorted(head.items()), 12)
+    coder.words.learn(coder.words.length, coder.words.length)
+    blocks = [{"bid": k, "text": texts[k : k + 4], "held_out": [False, False, True, False], "fit": [False, True, False, False]} for k in (0, 4, 8)]
+    sent = list(M._ask(M._doc_reader(coder), 5, iter([pa.RecordBatch.from_pylist(blocks)])))
+    lanes = pa.Table.from_batches(sent).sort_by("lane").to_batches()
+    answers = pa.Table.from_batches(list(M._answer(coder.words, iter(lanes)))).to_pylist()
+    count, part = Counter(), Counter()
+
+    def decisions(t):
+        words = M._tokens(t)
+        for j, w in enumerate(words):
+            s = coder.ids.get(w, 0)
+            for p in coder.words.path[coder.words.start[s] :][: coder.words.length[s]].tolist():
+                yield [(order, tuple(words[max(0, j - order) : j]), j < order and j, p >> 1) for order in (1, 2)], p & 1
+
+    for b in blocks:
+        for t, held, fit in zip(b["text"], b["held_out"], b["fit"], strict=True):
+            for keys, bit in decisions(t):
+                for key in keys if not held else ():
+                    count[key, bit] += 1
+                    part[key, bit] += not fit
+    for b in blocks:
+        r = M._doc_reader(coder)(b)
+        for seen, which, only in ((count, False, [0, 1, 2, 3]), (part, True, [1])):
+            got = list(M.mixable(coder.words, r, [a for a in answers if a["bid"] == b["bid"]], 5, which))
+            want = [keys for k in only for keys, _ in decisions(b["text"][k])]
+            for order in (1, 2):
+                know = np.concatenate([known[order] for _, known, _, _ in got])
+                pairs = np.array([[seen[keys[order - 1], bit] for bit in (0, 1)] for keys in want])
+                assert (know == M.pack(pairs[:, 0], pairs[:, 1])).all()
+
+
 def brute_tiles(doc, item, least):
     free_d, free_i, out = [True] * len(doc), [True] * len(item), []
     while True:
