@@ -296,6 +296,26 @@ def test_lm_contexts_are_counted_whole(monkeypatch):
                 assert (know == M.pack(pairs[:, 0], pairs[:, 1])).all()
 
 
+def test_lm_weights_are_of_the_run():
+    """Weights follow the decisions that a run counts, those of gates with little evidence too."""
+    import numpy as np
+
+    side, cells = 2 * M.BINS + 1, {}
+    for gate in range(16):
+        heavy = 1 + gate % 2  # the order that is right at this gate
+        for q in np.ndindex(side, side, side):
+            if all(abs(k - M.BINS) <= 4 for k in q):
+                x = [(k - M.BINS) / M.BINS for k in q]
+                p = 1 / (1 + np.exp(-np.sign(x[heavy]) * x[heavy] ** 2 * M.TOP))
+                cell = ((gate * side + q[0]) * side + q[1]) * side + q[2]
+                cells[2 * cell], cells[2 * cell + 1] = round(1000 * (1 - p)), round(1000 * p)
+    w = M.fitted(np.array(list(cells)), np.array(list(cells.values())))
+    for gate in range(16):
+        assert np.abs(w[gate] - np.eye(3)[1 + gate % 2]).max() < 0.05
+    assert (M.fitted(np.zeros(0, np.int64), np.zeros(0, np.int64)) == [1, 0, 0]).all()
+    assert not hasattr(M, "START") and not hasattr(M, "SPELL")
+
+
 def brute_tiles(doc, item, least):
     free_d, free_i, out = [True] * len(doc), [True] * len(item), []
     while True:
