@@ -166,6 +166,27 @@ def test_line_dedup(spark):
     assert len(got) == len(AWKWARD)
 
 
+def test_line_dedup_by_length(spark):
+    """The edits that are allowed grow with the line, and short and unspaced lines are compared by characters."""
+    import random
+
+    rng, long, cjk = random.Random(5), prose(11, 200).split(), "".join(chr(0x4E00 + k * 37 % 5000) for k in range(90))
+    rows = []
+    for edits in (0, 2, 5, 10, 11, 30):
+        w = list(long)
+        for k in rng.sample(range(200), edits):
+            w[k] = f"e{edits}x{k}"
+        rows.append((len(rows), " ".join(w)))
+    rows += [(10, "Home page links"), (11, "Home page link"), (12, "Home pages linked"), (13, "abc"), (14, "abd"), (15, cjk), (16, cjk[:30] + "x" + cjk[31:60] + "yz" + cjk[61:]), (17, "a b c d e f g h"), (18, "a b c d e f g"), (19, prose(21, 41)), (20, prose(21, 39))]
+    rows += [(100 + k, f"{prose(31, 25)} {prose(40 + k, 20)}") for k in range(12)]
+    lines = [(i, t.encode()) for i, t in rows]
+    assert [(i, j) for i, x in lines for j, y in lines if i < j and L.near(x, y)][:4] == [(0, 1), (0, 2), (0, 3), (1, 2)]
+    gone = {j for i, x in lines for j, y in lines if i < j and L.near(x, y)}
+    assert gone >= {1, 2, 3, 11, 16, 18, 20} and not gone & {0, 5, 12, 14}
+    got = L.line_dedup(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == gone
+
+
 def test_line_keys():
     a = prose(3, 9).split()
     for k in range(9):
