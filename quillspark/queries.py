@@ -182,16 +182,21 @@ _add("s4_dictionary_range", lambda spark, d: documents(spark, d).t.terms.where("
 _add("h1_trace", lambda spark, d: trace_frame({"text": "ofonrereer thndly"}, document_records(spark, d), DOCUMENTS).select("id", F.size("spans").alias("n")), f"WITH {_TOKENS} SELECT id, count(*)::INTEGER AS n FROM tok WHERE w IN ('ofonrereer', 'thndly') GROUP BY id")
 
 
+def _changes(docs: DataFrame) -> DataFrame:
+    """A batch that has every id: those divisible by 3 are deleted, the others put anew, the even ones with a new word."""
+    text = F.when(F.col("id") % 2 == 0, F.concat("text", F.lit(" newcomer"))).otherwise(F.col("text"))
+    return docs.withColumns({"op": F.when(F.col("id") % 3 == 0, "delete").otherwise("upsert"), "seq": F.lit(1), "text": text})
+
+
 def _mutate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest two batches into a stored index, the second with an update and deletes; ids that it then holds."""
+    """Ingest two batches of the whole table into a stored index, the second with updates and deletes; ids with the new word."""
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
     index = FullTextIndex.open(spark, f"{root}/index-{uuid.uuid4().hex}", DOCUMENTS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "id")
     publish_batch(index, docs.withColumns({"op": F.lit("upsert"), "seq": F.lit(0)}), 0)
-    change = docs.withColumns({"op": F.when(F.col("id") % 3 == 0, "delete").otherwise("upsert"), "seq": F.lit(1), "text": F.concat("text", F.lit(" newcomer"))}).where("id % 2 = 0")
-    publish_batch(index, change, 1)
+    publish_batch(index, _changes(docs), 1)
     return Searcher(index.tables).matches({"text": "newcomer"}).select("id")
 
 
