@@ -20,7 +20,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: An instance is a run that holds a digit or is quoted or long mixed text; shape checks keep prose out.
+#: An instance is an unspaced run that holds a digit and has six characters or more without its edges.
 _THING = re.compile(r"[^\s|]*[0-9][^\s|]*")
 _EDGE = "\"'`()[]{}<>,;:.!?*#$%&|"
 
