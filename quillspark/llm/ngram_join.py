@@ -194,9 +194,9 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     one text with copies. A text of fewer words has one shingle of them all; one without words is linked to
     nothing, and null texts are such. Null ids sort first; repeated rows are copies; a table without rows gives none.
 
-    Each text has a label path in every tree of the forest; paths are shortened from the leaves until the forest's
-    recall is reached, and texts that share one are joined to the least of them. What hangs together so holds
-    every pair the forest finds; in it all sets are compared exactly, in blocks once it is larger than one.
+    Each text has a key in every band, made of as many labels as the wanted recall allows by formula, and texts
+    that share one are joined to the least of them. What hangs together so holds
+    every pair the bands find; in it all sets are compared exactly, in blocks once it is larger than one.
     """
     sig, per = _classes(docs, similarity, shingle, trees, recall)
     out = sig.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(per.drop("first"), "digest", "left")
