@@ -1,11 +1,11 @@
 """Errors with a stable code."""
 
 
-class FulltextError(Exception):
+class SearchError(Exception):
     def __init__(self, code: str, message: str):
         super().__init__(f"{code}: {message}")
         self.code = code
 
 
-def invalid(message: str) -> FulltextError:
-    return FulltextError("E_INVALID_ARGUMENT", message)
+def invalid(message: str) -> SearchError:
+    return SearchError("E_INVALID_ARGUMENT", message)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 from .porter2 import stem
 
@@ -15,14 +17,14 @@ TOKEN_CHARS, TOKEN_BYTES = 40, 40
 _QUOTES = "'’＇"
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     term: str
     position: int
     start: int  # code points of the source, end exclusive
     end: int
 
 
+@lru_cache(maxsize=1 << 18)
 def fold(word: str) -> str:
     word = word.lower()
     if word.isascii():
@@ -42,12 +44,19 @@ def _clusters(text: str):
         i = j
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 def _runs(text: str):
     """(word, start, end, possessive) of each run of letters and digits of the NFKC form."""
-    if text.isascii():
-        chars = [(c, i, i + 1) for i, c in enumerate(text)]
-    else:
-        chars = [(c, s, e) for norm, s, e in _clusters(text) for c in norm]
+    if unicodedata.is_normalized("NFKC", text):
+        # Parts of a normal text are normal, and for re a word character but the underscore is one that is alphanumeric.
+        for m in _WORD.finditer(text):
+            word, start = m.group(), m.start()
+            single = word in ("s", "S") and start >= 2 and text[start - 1] in _QUOTES and text[start - 2].isalnum()
+            yield word[:TOKEN_CHARS], start, m.end(), single
+        return
+    chars = [(c, s, e) for norm, s, e in _clusters(text) for c in norm]
     word: list[str] = []
     start = end = 0
     for c, s, e in [*chars, (" ", len(text), len(text))]:
@@ -69,22 +78,37 @@ def surface(text: str, long: bool = False) -> list[Token]:
         if possessive:
             continue
         term = fold(word)
-        if long or len(term.encode()) < TOKEN_BYTES:
+        if long or not _long(term):
             out.append(Token(term, at, s, e))
         at += 1
     return out
 
 
-def analyze(text: str, stop_words: bool = True, synonyms: dict[str, tuple[str, ...]] | None = None) -> list[Token]:
-    """Stems with positions; stop words leave gaps; synonyms (index time) stand at their source's place."""
+def _long(term: str) -> bool:
+    return len(term) >= TOKEN_BYTES or not term.isascii() and len(term.encode()) >= TOKEN_BYTES
+
+
+def both(text: str, stop_words: bool = True, synonyms: dict[str, tuple[str, ...]] | None = None) -> tuple[list[Token], list[Token], int]:
+    """(folded words, stems, last position or -1) in one reading.
+
+    Stop words leave gaps among the stems; synonyms (index time) stand at their source's place.
+    """
+    every = surface(text, True)
+    shown = [t for t in every if not _long(t.term)]
     out = []
-    for t in surface(text):
+    for t in shown:
         if stop_words and t.term in STOP_WORDS:
             continue
         term = stem(t.term)
         out.append(Token(term, t.position, t.start, t.end))
-        out += [Token(x, t.position, t.start, t.end) for x in (synonyms or {}).get(term, ())]
-    return out
+        if synonyms and term in synonyms:
+            out += [Token(x, t.position, t.start, t.end) for x in synonyms[term]]
+    return shown, out, every[-1].position if every else -1
+
+
+def analyze(text: str, stop_words: bool = True, synonyms: dict[str, tuple[str, ...]] | None = None) -> list[Token]:
+    """Stems with positions."""
+    return both(text, stop_words, synonyms)[1]
 
 
 def query_terms(text: str, stop_words: bool = True) -> list[str]:
@@ -92,7 +116,7 @@ def query_terms(text: str, stop_words: bool = True) -> list[str]:
 
 
 def fuzzy_eligible(term: str) -> bool:
-    return len(term) >= 4 and any(c.isalpha() for c in term) and not any(c.isnumeric() for c in term)
+    return len(term) >= 4 and any(c.isalpha() for c in term) and not any(c.isnumeric() or c in "-_/" for c in term)
 
 
 def edits(a: str, b: str, transpositions: bool = True, prefix: bool = False) -> int:

@@ -29,6 +29,7 @@ def _longest(w: str, suffixes) -> str:
 
 
 @lru_cache(200_000)
+@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word

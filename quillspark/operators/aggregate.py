@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import invalid
+from ..errors import SearchError, invalid
 
+#: How deep aggregations nest, buckets of an answer, bytes of a name.
 DEPTH, BUCKETS, NAME_BYTES = 32, 1024, 128
 
 
@@ -75,45 +76,87 @@ def bucket_frame(matches: DataFrame, r: dict) -> DataFrame:
     return matches.select(F.explode(buckets_of(r)).alias("key")).groupBy("key").agg(F.count("*").alias("count"))
 
 
+def _stats() -> list[Column]:
+    return [F.count("v").alias("count"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("avg")]
+
+
 def stats_frame(matches: DataFrame, field: str) -> DataFrame:
-    v = matches.select(F.explode(f"f_{field}").alias("v"))
-    return v.agg(F.count("v").alias("count"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("avg"))
+    return matches.select(F.explode(f"f_{field}").alias("v")).agg(*_stats())
 
 
-def aggregate(matches: DataFrame, requests: list[dict], left: list[int] | None = None) -> list[dict]:
+def aggregate(matches: DataFrame, requests: list[dict]) -> list[dict]:
     """Results in request order. Exact: a terms list has no error, and the rest is counted in full.
 
-    Only buckets that are answered come to the driver, at most BUCKETS of them in all.
+    One plan for each request of the tree, whatever the number of buckets: rows carry the number of the bucket that they
+    are in, and group by it. Only buckets that are answered come to the driver, at most BUCKETS of them in all.
     """
-    left = [BUCKETS] if left is None else left
-    out = []
+    return _level(matches.withColumn("_in", F.lit(0)), requests, 1, [BUCKETS])[0]
+
+
+def _answered(counts: DataFrame, r: dict, left: int) -> tuple[list, dict[int, int]]:
+    """(rows _in, _key, count in answer order, all counts by _in): for terms the largest ones of each bucket."""
+    if r["type"] != "terms":
+        return counts.orderBy("_in", "_key").limit(left + 1).collect(), {}
+    every = {x[0]: x[1] for x in counts.groupBy("_in").agg(F.sum("count")).collect()}  # a row for each answered bucket
+    # The limit by rank is applied within tasks first, so that no task sees all words of a bucket.
+    place = F.row_number().over(Window.partitionBy("_in").orderBy(F.desc("count"), "_key"))
+    top = counts.withColumn("_place", place).where(F.col("_place") <= r["size"])
+    return top.orderBy("_in", "_place").limit(left + 1).collect(), every
+
+
+def _level(rows: DataFrame, requests: list[dict], n: int, left: list[int]) -> list[list[dict]]:
+    """The results of *requests* in each of the *n* buckets that _in numbers."""
+    out: list[list[dict]] = [[] for _ in range(n)]
     for r in requests:
         if r["type"] == "stats":
-            out.append({"name": r["name"], "type": "stats", **stats_frame(matches, r["field"]).first().asDict()})
+            got = {x["_in"]: x.asDict() for x in rows.select("_in", F.explode(f"f_{r['field']}").alias("v")).groupBy("_in").agg(*_stats()).collect()}
+            for k in range(n):
+                found = got.get(k, {"count": 0, "sum": 0.0, "min": None, "max": None, "avg": None})
+                if any(isinstance(v, float) and not math.isfinite(v) for v in found.values()):
+                    raise SearchError("E_RESOURCE_LIMIT", "a sum is beyond the numbers there are")
+                out[k].append({"name": r["name"], "type": "stats", **{c: found[c] for c in ("count", "sum", "min", "max", "avg")}})
             continue
-        frame = bucket_frame(matches, r)
-        res: dict = {"name": r["name"], "type": r["type"]}
-        if r["type"] == "terms":
-            top = frame.orderBy(F.desc("count"), "key").limit(r["size"]).collect()
-            total = frame.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-            res |= {"sumOtherDocCount": total - sum(x["count"] for x in top), "docCountErrorUpperBound": 0}
-            got = [({"key": x["key"], "count": x["count"]}, x["key"]) for x in top]
-        elif r["type"] == "histogram":
-            rows = frame.orderBy("key").limit(left[0] + 1).collect()
-            got = [({"key": x["key"], "count": x["count"]}, x["key"]) for x in rows]
+        keyed = rows.withColumn("_key", F.explode(buckets_of(r)))
+        got, every = _answered(keyed.groupBy("_in", "_key").agg(F.count("*").alias("count")), r, left[0])
+        if r["type"] == "range":
+            found = {(x["_in"], x["_key"]): x["count"] for x in got}
+            ends = [{e: v for e, v in (("from", a), ("to", b)) if v is not None} for a, b in bounds(r["ranges"])]
+            listed = [(k, j, {"key": range_key(a, b), **ends[j], "count": found.get((k, j), 0)}) for k in range(n) for j, (a, b) in enumerate(bounds(r["ranges"]))]
         else:
-            found = {x["key"]: x["count"] for x in frame.collect()}
-            got = []
-            for k, (a, b) in enumerate(bounds(r["ranges"])):
-                ends = {n: v for n, v in (("from", a), ("to", b)) if v is not None}
-                got.append(({"key": range_key(a, b), **ends, "count": found.get(k, 0)}, k))
-        left[0] -= len(got)
+            listed = [(x["_in"], x["_key"], {"key": x["_key"], "count": x["count"]}) for x in got]
+        left[0] -= len(listed)
         if left[0] < 0:
             raise invalid(f"more than {BUCKETS} buckets")
+        results = [{"name": r["name"], "type": r["type"], "buckets": []} for _ in range(n)]
+        for k, _, bucket in listed:
+            results[k]["buckets"].append(bucket)
+        if r["type"] == "terms":
+            for k, res in enumerate(results):
+                res |= {"sumOtherDocCount": every.get(k, 0) - sum(b["count"] for b in res["buckets"]), "docCountErrorUpperBound": 0}
         if r.get("aggregations"):
-            for bucket, key in got:
-                inside = matches.where(F.array_contains(buckets_of(r), F.lit(key)))
-                bucket["aggregations"] = aggregate(inside, r["aggregations"], left)
-        res["buckets"] = [b for b, _ in got]
-        out.append(res)
+            kind = keyed.schema["_key"].dataType.simpleString()
+            numbers = rows.sparkSession.createDataFrame([(k, key, j) for j, (k, key, _) in enumerate(listed)], f"_in int, _key {kind}, _inner int")
+            # BUCKETS rows at most.
+            inside = keyed.join(F.broadcast(numbers), ["_in", "_key"]).drop("_in", "_key").withColumnRenamed("_inner", "_in")
+            for (_, _, bucket), inner in zip(listed, _level(inside, r["aggregations"], len(listed), left), strict=True):
+                bucket["aggregations"] = inner
+        for k in range(n):
+            out[k].append(results[k])
+    return out
+
+
+def flat(results: list[dict], path: tuple[str, ...] = ()) -> list[tuple]:
+    """(path, name, key, count, sum, min, max, other) of all buckets and statistics, outer ones first."""
+    out: list[tuple] = []
+    for r in results:
+        if r["type"] == "stats":
+            out.append((list(path), r["name"], None, r["count"], r["sum"], r["min"], r["max"], None))
+            continue
+        for b in r["buckets"]:
+            key = b["key"] if isinstance(b["key"], str) else f"{b['key']:g}"
+            out.append((list(path), r["name"], key, b["count"], None, None, None, r.get("sumOtherDocCount")))
+            out += flat(b.get("aggregations") or [], (*path, key))
     return out
+
+
+FLAT = "path array<string>, name string, key string, count long, sum double, min double, max double, other long"

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import FulltextError, invalid
+from ..errors import SearchError, invalid
 from ..functions.analysis import TOKEN_BYTES, analyze, edits, fuzzy_eligible, query_terms, surface
-from ..plans.request import CLAUSES, EXPANSIONS, FUZZY_TERMS, TERMS
+from ..plans.request import CLAUSES, EXPANSIONS, FUZZY_TERMS, FUZZY_UNITS, PHRASE_POSITIONS, TERMS, leaves
 from ..ship import ship
 from ..sources.index import Tables
 
@@ -30,7 +30,11 @@ def _near(term: str, distance: int, swaps: bool, prefix: bool) -> Column:
     def close(words: pd.Series) -> pd.Series:
         return words.map(lambda w: edits(term, w, swaps, prefix) <= distance).astype(bool)
 
-    return size & close("term")
+    # A swap is two edits there, so nothing near is lost, and few words are left for Python.
+    most = 2 * distance if swaps else distance
+    heads = [F.substring("term", 1, k) for k in range(max(1, len(term) - distance), len(term) + distance + 1)] if prefix else [F.col("term")]
+    maybe = reduce(lambda a, b: a | b, (F.levenshtein(h, F.lit(term), most) >= 0 for h in heads))
+    return size & maybe & close("term")
 
 
 def _moved(places: Column, by: int) -> Column:
@@ -82,7 +86,7 @@ class Matcher:
 
     def _limit(self, terms: list) -> None:
         if len(terms) > TERMS:
-            raise FulltextError("E_RESOURCE_LIMIT", f"a query may have {TERMS} terms")
+            raise SearchError("E_RESOURCE_LIMIT", f"a query may have {TERMS} terms")
 
     def _any(self, terms: list[str], fields: list[int]) -> DataFrame:
         self._limit(terms)
@@ -123,14 +127,14 @@ class Matcher:
             return self._all(query_terms(text, self.t.options.stop_words), fields)
         last = whole[-1]
         if len(last.term) < (4 if fuzzy else 3):
-            raise FulltextError("E_PREFIX_TOO_BROAD", "a prefix has 3 characters, a fuzzy one 4")
+            raise SearchError("E_PREFIX_TOO_BROAD", "a prefix has 3 characters, a fuzzy one 4")
         if len(last.term.encode()) >= TOKEN_BYTES:
             raise invalid("the prefix is too long")
         done = list(dict.fromkeys(t.term for t in analyze(text, self.t.options.stop_words) if t.position < last.position))
         words = self.t.terms.where(F.col("surface") & F.col("field").isin(fields))
         found = [r[0] for r in words.where(F.col("term").startswith(last.term)).select("term").distinct().orderBy("term").limit(EXPANSIONS + 1).collect()]
         if len(found) > EXPANSIONS:
-            raise FulltextError("E_PREFIX_TOO_BROAD", f"over {EXPANSIONS} words begin with the prefix")
+            raise SearchError("E_PREFIX_TOO_BROAD", f"over {EXPANSIONS} words begin with the prefix")
         best = self._scored(found, fields, True).groupBy("id").agg(F.max("score").alias("score")) if found else self._empty()
         if fuzzy:
             best = self._inexact(best, last.term, node, fields, True)
@@ -158,7 +162,7 @@ class Matcher:
                 pairs.append((s, again[0].term))
         self._limit(pairs)
         if sum(fuzzy_eligible(s) for s, _ in pairs) > FUZZY_TERMS:
-            raise FulltextError("E_RESOURCE_LIMIT", f"at most {FUZZY_TERMS} fuzzy terms")
+            raise SearchError("E_RESOURCE_LIMIT", f"at most {FUZZY_TERMS} fuzzy terms")
         parts = []
         for s, term in dict((t, (s, t)) for s, t in reversed(pairs)).values():
             exact = self._any([term], fields)
@@ -196,12 +200,29 @@ class Matcher:
             return max(1, len(query_terms(node["text"], self.t.options.stop_words)) * len(node["fields"]))
         return sum(map(self.clauses, [*node["of"], *([node["required"]] if "required" in node else [])])) + len(node["of"])
 
+    def work(self, tree: dict) -> None:
+        """Refuse trees whose phrases or fuzzy words are more than a query may have, all clauses together."""
+        positions = units = 0
+        for node in leaves(tree):
+            if node["mode"] == "phrase":
+                positions += len(analyze(node["text"], self.t.options.stop_words)) * len(node["fields"])
+            elif "fuzzy" in node["mode"]:
+                # An edit distance of two costs four times as much.
+                words = sum(fuzzy_eligible(t.term) for t in surface(node["text"])) if node["mode"] == "fuzzy" else 1
+                units += words * len(node["fields"]) * (0, 1, 4)[node["distance"]]
+        if positions > PHRASE_POSITIONS:
+            raise invalid(f"phrases may have {PHRASE_POSITIONS} positions, counted once a field")
+        if units > FUZZY_UNITS:
+            raise invalid(f"fuzzy words may cost {FUZZY_UNITS} units")
+
     def matches(self, req: dict) -> DataFrame:
         """(id, score) of a checked request: query, candidates and filter."""
         from .filters import compile_filter
 
+        self.work(req["tree"])
+
         if self.clauses(req["tree"]) > CLAUSES:
-            raise FulltextError("E_RESOURCE_LIMIT", f"a query may have {CLAUSES} clauses")
+            raise SearchError("E_RESOURCE_LIMIT", f"a query may have {CLAUSES} clauses")
         out = self.tree(req["tree"])
         if req["ids"] is not None:
             out = out.where(F.col("id").isin(req["ids"]) if req["ids"] else F.lit(False))

@@ -6,9 +6,10 @@ import math
 
 from ..errors import invalid
 
+#: The modes, and the limits of a request.
 MODES = ("any", "all", "phrase", "prefix", "fuzzy", "fuzzy-prefix")
 DEPTH, TEXT_BYTES, WINDOW, PREFIX_WINDOW, CANDIDATES, CANDIDATE_BYTES = 8, 65_536, 10_000, 100, 1_024, 1 << 20
-TERMS, CLAUSES, EXPANSIONS, FUZZY_TERMS, FUZZY_UNITS = 64, 256, 50, 16, 256
+TERMS, CLAUSES, EXPANSIONS, FUZZY_TERMS, FUZZY_UNITS, PHRASE_POSITIONS = 64, 256, 50, 16, 256, 16_384
 _KEYS = {"and": "clauses", "or": "clauses", "not": "clause", "boost": "clause", "optional": "required"}
 _LEAF = {"text", "mode", "operator", "fields", "fuzzyDistance", "fuzzyTranspositions"}
 

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FulltextError, invalid
-from ..functions.analysis import analyze, surface
+from ..errors import SearchError, invalid
+from ..functions.analysis import analyze, both
 from ..ship import ship
 
+#: The limits of ids, versions, fields, string filters, payloads and synonyms.
 ID_BYTES, VERSION_BYTES, FIELDS, STRING_BYTES, PAYLOAD_BYTES = 4096, 4096, 1024, 65_530, 65_536
 RULES, REPLACEMENTS = 1024, 16
 _TYPES = {"string": "string", "number": "double", "boolean": "boolean"}
@@ -44,7 +50,7 @@ class Options:
         return dict(self.filters)
 
     def identity(self) -> str:
-        own = [self.names, self.filters, self.stop_words, self.positions, self.surface_terms, self.synonyms, "english@2"]
+        own = [self.names, self.filters, self.stop_words, self.positions, self.surface_terms, self.synonyms, "porter2-1"]
         return hashlib.sha256(json.dumps(own).encode()).hexdigest()
 
 
@@ -53,7 +59,7 @@ def validate_options(fields: list, filters: list | None = None, stop_words: bool
     text = [(f, 1.0) if isinstance(f, str) else (f["name"], float(f.get("weight", 1))) for f in fields]
     meta = [(f["name"], f["type"]) for f in filters or []]
     for names in ([n for n, _ in text], [n for n, _ in meta]):
-        if len(names) > FIELDS or len(set(names)) < len(names) or any(not n or n.startswith("__fulltext_") for n in names):
+        if len(names) > FIELDS or len(set(names)) < len(names) or any(not n or n.startswith("__quill_") for n in names):
             raise invalid("field names are distinct, not empty and not reserved")
     if not text or any(not 0 <= w < float("inf") for _, w in text):
         raise invalid("an index has text fields of finite weights")
@@ -93,16 +99,18 @@ def as_records(df: DataFrame, options: Options, id_col: str = "id", version: str
 
 
 def rejections(records: DataFrame, options: Options) -> DataFrame:
-    """id and code of the records that can't be indexed: bad ids, versions, or values that are too long or not finite."""
-    bad = F.col("id").isNull() | ~F.octet_length("id").between(1, ID_BYTES) | (F.coalesce(F.octet_length("version"), F.lit(0)) > VERSION_BYTES)
+    """id, operation and code of the records that can't be indexed: bad ids, versions, or values that are too long or not finite."""
+    code = F.when(F.col("id").isNull() | ~F.octet_length("id").between(1, ID_BYTES) | (F.coalesce(F.octet_length("version"), F.lit(0)) > VERSION_BYTES), F.lit("E_INVALID_ARGUMENT"))
     for n, kind in options.filters:
         if kind == "string":
-            bad = bad | F.exists(f"f_{n}", lambda x: F.octet_length(x) > STRING_BYTES)
+            code = code.when(F.exists(f"f_{n}", lambda x: F.octet_length(x) > STRING_BYTES), "E_RESOURCE_LIMIT")
         if kind == "number":
-            bad = bad | F.exists(f"f_{n}", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return records.where(bad).select("id", F.lit("E_INVALID_ARGUMENT").alias("code"))
+            code = code.when(F.exists(f"f_{n}", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "E_INVALID_ARGUMENT")
+    return records.select("id", F.lit("upsert").alias("operation"), code.alias("code")).where("code is not null")
 
 
+_RETIRED = ".quill-retired"
+_TERM = "surface boolean, field int, term string, df long, total long"
 _POSTING = "surface boolean, field int, term string, id string, tf int, positions array<int>, len int"
 
 
@@ -114,26 +122,39 @@ def _postings(options: Options, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         ids = b.column(0).to_pylist()
         for k in range(len(options.fields)):
             for i, values in zip(ids, b.column(k + 1).to_pylist(), strict=True):
-                for raw in (False, True) if options.surface_terms else (False,):
-                    found: dict[str, list[int]] = {}
-                    n = base = 0
-                    for v in values:
-                        tokens = surface(v) if raw else analyze(v, options.stop_words, stems)
+                found: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+                sizes, base = [0, 0], 0
+                for v in values:
+                    shown, stems_, last = both(v, options.stop_words, stems)
+                    for raw, tokens in enumerate((stems_, shown)):
+                        sizes[raw] += len(tokens)
                         for t in tokens:
-                            found.setdefault(t.term, []).append(base + t.position)
-                        n += len(tokens)
-                        # One place of a gap, so that no phrase runs across values.
-                        base += (surface(v, True)[-1].position if tokens else 0) + 2
-                    for term, at in found.items():
-                        for c, x in zip(cols, (raw, k, term, i, len(at), at if options.positions and not raw else None, n), strict=True):
-                            c.append(x)
+                            found[raw].setdefault(t.term, []).append(base + t.position)
+                    # One place of a gap, so that no phrase runs across values.
+                    base += last + 2
+                for raw in (False, True) if options.surface_terms else (False,):
+                    n = len(found[raw])
+                    places = list(found[raw].values())
+                    cols[0] += [raw] * n
+                    cols[1] += [k] * n
+                    cols[2] += found[raw]
+                    cols[3] += [i] * n
+                    cols[4] += map(len, places)
+                    cols[5] += places if options.positions and not raw else [None] * n
+                    cols[6] += [sizes[raw]] * n
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[p.split()[0] for p in _POSTING.split(", ")])
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """Few partitions are dealt anew, as one row group of a file is one task; a large table has enough and stays."""
+    n = records.sparkSession.sparkContext.defaultParallelism
+    return records.repartition(4 * n) if records.rdd.getNumPartitions() < n * 2 else records
+
+
 def postings(records: DataFrame, options: Options) -> DataFrame:
     """One row for each term of a field of a record: the analysed ones and, if asked for, the surface forms."""
     ship(records.sparkSession)
-    return records.select("id", *(f"t_{n}" for n in options.names)).mapInArrow(lambda it: _postings(options, it), _POSTING)
+    return spread(records).select("id", *(f"t_{n}" for n in options.names)).mapInArrow(lambda it: _postings(options, it), _POSTING)
 
 
 @dataclass
@@ -173,156 +194,278 @@ class _Files:
     def path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
 
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.path(f"{self.top}/{name}"))
+    def names(self) -> list[str]:
+        at = self.path(self.top)
+        return [f.getPath().getName() for f in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def numbers(self, kind: str) -> list[int]:
+        found = (re.fullmatch(rf"_{kind}-(\d+)\.json", n) for n in self.names())
+        return sorted(int(m[1]) for m in found if m)
 
-    def read(self, name: str) -> dict:
-        stream = self.fs.open(self.path(f"{self.top}/{name}"))
+    def manifest(self, number: int) -> dict:
+        stream = self.fs.open(self.path(f"{self.top}/_manifest-{number:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def write(self, name: str, value: dict) -> None:
-        """Written beside and renamed over, so that readers see the old or the new."""
-        temp, to = self.path(f"{self.top}/{name}.new"), self.path(f"{self.top}/{name}")
+    def latest(self) -> dict | None:
+        """The newest manifest: a manifest is there whole or not at all, and never changes."""
+        numbers = self.numbers("manifest")
+        return self.manifest(numbers[-1]) if numbers else None
+
+    def claim(self, number: int) -> None:
+        """Only one writer gets a number."""
+        try:
+            self.fs.create(self.path(f"{self.top}/_claim-{number:012d}.json"), False).close()
+        except Py4JJavaError as e:
+            raise SearchError("E_LOCK_BUSY", f"another writer makes snapshot {number}") from e
+
+    def publish(self, value: dict) -> None:
+        """Written beside and renamed into its place, which no other manifest has."""
+        name = f"_manifest-{value['snapshot']:012d}.json"
+        temp = self.path(f"{self.top}/_new-{uuid.uuid4().hex}")
         out = self.fs.create(temp, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        self.fs.delete(to, False)
-        if not self.fs.rename(temp, to):
-            raise FulltextError("E_STORAGE", f"can't replace {name}")
+        if not self.fs.rename(temp, self.path(f"{self.top}/{name}")):
+            raise SearchError("E_STORAGE", f"can't write {name}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.top}/{name}"), True)
+
+
+def _summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("surface", "field", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
 
+def _owner(options: Options) -> dict:
+    return {"identity": options.identity(), "snapshot": 0, "payload": None, "segments": [], "dead": []}
 
-class FullTextReader:
+
+class TextReader:
     """A snapshot of a stored index; reload() moves on to the newest."""
 
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self.files = _Files(spark, self.path)
-        if not self.files.exists("_manifest.json"):
-            raise FulltextError("E_INDEX_NOT_READY", f"no index at {path}")
+        if not self.files.numbers("manifest"):
+            raise SearchError("E_INDEX_NOT_READY", f"no index at {path}")
         self.reload()
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, options: Options) -> FullTextReader:
+    def open(cls, spark: SparkSession, path: str, options: Options) -> TextReader:
         return cls(spark, path, options)
 
     def reload(self) -> None:
-        self.manifest = self.files.read("_manifest.json")
-        if self.manifest["identity"] != self.options.identity():
-            raise FulltextError("E_IDENTITY_MISMATCH", "the index was made with other options")
-        at = f"{self.path}/v={self.manifest['snapshot']}"
-        read = self.spark.read.parquet
-        self.tables = tables(read(f"{at}/docs"), read(f"{at}/postings"), self.options, read(f"{at}/terms"), f"{self.manifest['identity'][:16]}-{self.manifest['snapshot']}")
+        """The newest snapshot. A writer may clear away the one that is being read, so that is tried again."""
+        for wait in (0.001, 0.002, None):
+            m = self.files.latest()
+            if m["identity"] != self.options.identity():
+                raise SearchError("E_IDENTITY_MISMATCH", "the index was made with other options")
+            try:
+                self.tables = self._tables(m)
+            except AnalysisException as e:
+                if wait is None:
+                    raise SearchError("E_RELOAD_FAILED", "the tables of the snapshot are gone") from e
+                time.sleep(wait)
+            else:
+                self.manifest = m
+                return
+
+    def _read(self, kind: str, segments: list[dict], schema: str) -> DataFrame:
+        """A table of all segments, with the number of each in seg."""
+        out = self.spark.createDataFrame([], f"{schema}, seg string")
+        for s in segments:
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/seg={s['seg']}/{kind}").withColumn("seg", F.lit(str(s["seg"]))))
+        return out
+
+    def _schema(self) -> str:
+        return "id string, version string" + "".join(f", `f_{n}` array<{_TYPES[k]}>" for n, k in self.options.filters)
+
+    def _live(self, m: dict, kind: str, schema: str, segments: list[dict] | None = None) -> DataFrame:
+        """Rows of documents that no later commit replaced or deleted."""
+        rows = self._read(kind, m["segments"] if segments is None else segments, schema)
+        if not m["dead"]:
+            return rows
+        dead = self.spark.read.schema("id string, seg string").parquet(*(f"{self.path}/dead={n}" for n in m["dead"]))
+        return rows.join(dead, ["id", "seg"], "left_anti")
+
+    def _tables(self, m: dict) -> Tables:
+        docs, posts = self._live(m, "docs", self._schema()), self._live(m, "postings", _POSTING)
+        # Each segment has the terms that it adds, and those of the documents that its commit took away, below zero.
+        terms = _summed(self._read("terms", m["segments"], _TERM)).where("df > 0")
+        totals: dict[tuple[bool, int], int] = {}
+        for s in m["segments"]:
+            for raw, k, n in s["totals"]:
+                totals[(raw, k)] = totals.get((raw, k), 0) + n
+        n_docs = sum(s["docs"] for s in m["segments"])
+        return Tables(self.spark, self.options, docs.drop("seg"), posts.drop("seg"), terms, n_docs, totals, f"{m['identity'][:16]}-{m['snapshot']}")
 
     @property
     def committed_payload(self) -> str | None:
         return self.manifest.get("payload")
 
 
-class FullTextIndex(FullTextReader):
-    """The writer: stages changes, and publishes them as the next snapshot."""
+class TextIndex(TextReader):
+    """The writer: stages changes, and publishes them as the next snapshot.
+
+    A commit writes a segment of the changed documents alone, and the places of those that they replace. Segments
+    merge geometrically, so that there are few and each document is rewritten a logarithmic number of times.
+    """
 
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.staged: list[tuple[DataFrame | None, DataFrame]] = []
         files = _Files(spark, path.rstrip("/"))
-        if not files.exists("_manifest.json"):
-            empty = spark.createDataFrame([], "id string, version string" + "".join(f", t_{n} array<string>" for n in options.names) + "".join(f", f_{n} array<{_TYPES[k]}>" for n, k in options.filters))
-            self._write(spark, path.rstrip("/"), 0, empty.select("id", "version", *(f"f_{n}" for n, _ in options.filters)), postings(empty, options))
-            files.write("_manifest.json", {"identity": options.identity(), "snapshot": 0, "payload": None})
+        if not files.numbers("manifest"):
+            files.publish(_owner(options))
         super().__init__(spark, path, options)
 
-    @staticmethod
-    def _write(spark: SparkSession, path: str, snapshot: int, docs: DataFrame, posts: DataFrame) -> None:
-        at = f"{path}/v={snapshot}"
+    def _write(self, name: str, docs: DataFrame, posts: DataFrame, terms: Callable[[DataFrame], DataFrame]) -> dict:
+        """Segment *name*; *terms* gives what it changes in the dictionary, from its stored postings."""
+        at = f"{self.path}/seg={name}"
         docs.write.mode("overwrite").parquet(f"{at}/docs")
-        posts = posts.persist()  # the range partitioning reads them twice
+        posts.write.mode("overwrite").parquet(f"{at}/raw")
         # By term and id: a query reads the files of its terms, and a very common term is in several.
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        posts.repartitionByRange(n, "surface", "field", "term", "id").sortWithinPartitions("surface", "field", "term", "id").write.mode("overwrite").parquet(f"{at}/postings")
-        posts.unpersist()
-        done = spark.read.parquet(f"{at}/postings")
-        terms = done.groupBy("surface", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-        terms.repartitionByRange(n, "surface", "field", "term").sortWithinPartitions("surface", "field", "term").write.mode("overwrite").parquet(f"{at}/terms")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        order = ["surface", "field", "term", "id"]
+        posts = self.spark.read.schema(_POSTING).parquet(f"{at}/raw")  # the range partitioning reads them twice
+        posts.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/postings")
+        self.files.delete(f"seg={name}/raw")
+        change = _summed(terms(self.spark.read.schema(_POSTING).parquet(f"{at}/postings")))
+        change.repartitionByRange(n, *order[:3]).sortWithinPartitions(*order[:3]).write.mode("overwrite").parquet(f"{at}/terms")
+        per = self.spark.read.schema(_TERM).parquet(f"{at}/terms").groupBy("surface", "field").agg(F.sum("total")).collect()  # one row a field
+        rows = self.spark.read.schema(self._schema()).parquet(f"{at}/docs").count()
+        return {"seg": name, "rows": rows, "docs": rows, "totals": [[r[0], r[1], r[2]] for r in per]}
 
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, rejected_upsert: str = "reject") -> DataFrame:
         """Stage records and ids to delete; returns the rejected records. An id may come once in all.
 
         Upserts replace what has their id. With rejected_upsert='delete' a rejected record's id is deleted.
         """
-        none = self.spark.createDataFrame([], "id string")
-        ids = deletes.select(F.col("id").cast("string").alias("id")) if deletes is not None else none
-        bad = self.spark.createDataFrame([], "id string, code string")
-        if upserts is not None:
-            bad = rejections(upserts, self.options)
-            good = upserts.join(bad.select("id"), "id", "left_anti").where("id is not null")
-            every = upserts.select("id").unionByName(ids)
-            if not every.groupBy("id").count().where("count > 1").isEmpty():
-                raise invalid("an id may come once in a batch")
-            gone = ids.unionByName(good.select("id"))
-            if rejected_upsert == "delete":
-                gone = gone.unionByName(bad.select("id"))
-            self.staged.append((good, gone))
-        else:
+        ids = deletes.select(F.col("id").cast("string").alias("id")) if deletes is not None else self.spark.createDataFrame([], "id string")
+        if upserts is None:
             self.staged.append((None, ids))
+            return self.spark.createDataFrame([], "id string, operation string, code string")
+        bad = rejections(upserts, self.options)
+        good = upserts.where("id is not null").join(bad.select("id"), "id", "left_anti")
+        if not upserts.select("id").unionByName(ids).groupBy("id").count().where("count > 1").isEmpty():
+            raise invalid("an id may come once in a batch")
+        gone = ids.unionByName(good.select("id"))
+        if rejected_upsert == "delete":
+            gone = gone.unionByName(bad.select("id").where("id is not null"))
+        self.staged.append((good, gone))
         return bad
 
     def commit(self, payload: str | None = None) -> int:
         """Write what is staged as the next snapshot; readers see it once they reload."""
         if payload is None and self.manifest.get("payload") is not None:
-            raise FulltextError("E_CHECKPOINT_REQUIRED", "this index is published with payloads")
+            raise SearchError("E_CHECKPOINT_REQUIRED", "this index is published with payloads")
         if payload is not None and len(payload.encode()) > PAYLOAD_BYTES:
-            raise FulltextError("E_RESOURCE_LIMIT", "a payload may have 64 KiB")
-        docs, posts = self.tables.docs, self.tables.postings
-        for good, gone in self.staged:
-            gone = gone.distinct()
-            docs, posts = docs.join(gone, "id", "left_anti"), posts.join(gone, "id", "left_anti")
-            if good is not None:
-                docs = docs.unionByName(good.select(docs.columns))
-                posts = posts.unionByName(postings(good, self.options))
-        number = self.manifest["snapshot"] + 1
-        self._write(self.spark, self.path, number, docs, posts)
-        self.files.write("_manifest.json", {"identity": self.options.identity(), "snapshot": number, "payload": payload})
+            raise SearchError("E_RESOURCE_LIMIT", "a payload may have 64 KiB")
+        m = self.files.latest()
+        number = max([m["snapshot"], *self.files.numbers("claim")]) + 1
+        self.files.claim(number)
+        m = m | {"snapshot": number, "payload": payload}
+        if self.staged:
+            m = self._merged(self._added(m, number))
+        self.files.publish(m)
         self.staged.clear()
-        self.manifest["payload"], self.manifest["snapshot"] = payload, number
+        self.manifest = m
         return number
 
+    def _added(self, m: dict, number: int) -> dict:
+        """The manifest with a segment of what is staged; a later change of an id undoes the earlier ones."""
+        fresh, gone = None, None
+        for good, ids in self.staged:
+            ids = ids.distinct()
+            if fresh is not None:
+                fresh = fresh.join(ids, "id", "left_anti")
+            if good is not None:
+                fresh = good if fresh is None else fresh.unionByName(good)
+            gone = ids if gone is None else gone.unionByName(ids)
+        none = self.spark.createDataFrame([], self._schema() + "".join(f", `t_{n}` array<string>" for n in self.options.names))
+        fresh = none if fresh is None else none.unionByName(fresh.select(none.columns))
+        dead = self._live(m, "docs", self._schema()).select("id", "seg").join(gone.distinct(), "id", "left_semi")
+        dead.write.mode("overwrite").parquet(f"{self.path}/dead={number}")
+        dead = self.spark.read.schema("id string, seg string").parquet(f"{self.path}/dead={number}")
+        n_dead = dead.count()
+        minus = self._live(m, "postings", _POSTING).join(dead, ["id", "seg"], "left_semi")
+        one = lambda rows, sign: rows.select("surface", "field", "term", F.lit(sign).cast("long").alias("df"), (sign * F.col("tf")).cast("long").alias("total"))
+        docs = fresh.select("id", "version", *(f"f_{n}" for n, _ in self.options.filters))
+        seg = self._write(str(number), docs, postings(fresh, self.options), lambda new: one(new, 1).unionByName(one(minus, -1)) if n_dead else one(new, 1))
+        seg["docs"] -= n_dead
+        return m | {"segments": [*m["segments"], seg], "dead": [*m["dead"], *([number] if n_dead else [])]}
+
+    def _merged(self, m: dict) -> dict:
+        """The manifest with segments merged from the end while they are less than double; a merge has what lives of them.
+
+        Dictionary changes add up, those that concern documents of other segments too.
+        """
+        sizes = [s["rows"] for s in m["segments"]]
+        k = len(sizes) - 1
+        while k > 0 and sizes[k - 1] < 2 * sum(sizes[k:]):
+            k -= 1
+        if k == len(sizes) - 1:
+            return m
+        parts = m["segments"][k:]
+        docs, posts = self._live(m, "docs", self._schema(), parts).drop("seg"), self._live(m, "postings", _POSTING, parts).drop("seg")
+        seg = self._write(f"{m['snapshot']}m", docs, posts, lambda _: self._read("terms", parts, _TERM).drop("seg"))
+        return m | {"segments": [*m["segments"][:k], seg | {"docs": sum(s["docs"] for s in parts)}], "dead": m["dead"] if k else []}
+
+    def clear_away(self, keep: int = 2) -> int:
+        """Delete the tables that none of the last *keep* snapshots has; how many were deleted."""
+        numbers = self.files.numbers("manifest")
+        kept = [self.files.manifest(n) for n in numbers[-keep:]]
+        used = {f"seg={s['seg']}" for m in kept for s in m["segments"]} | {f"dead={n}" for m in kept for n in m["dead"]}
+        old = [n for n in self.files.names() if n.startswith(("seg=", "dead=")) and n not in used]
+        for n in old:
+            self.files.delete(n)
+        for n in numbers[:-keep]:
+            self.files.delete(f"_manifest-{n:012d}.json")
+        return len(old)
+
     def publish(self, payload: str) -> int:
         number = self.commit(payload)
         self.reload()
+        self.clear_away()
         return number
 
     def close(self, mode: str = "require-clean") -> None:
         if mode == "require-clean" and self.staged:
-            raise FulltextError("E_DIRTY_CLOSE", "changes are staged")
+            raise SearchError("E_DIRTY_CLOSE", "changes are staged")
         self.staged.clear()
 
 
 def inspect_index(spark: SparkSession, path: str, options: Options) -> dict:
     """{state: missing | incompatible | cursorless | checkpointed, payload?} without opening."""
-    files = _Files(spark, path.rstrip("/"))
-    if not files.exists("_manifest.json"):
+    m = _Files(spark, path.rstrip("/")).latest()
+    if m is None:
         return {"state": "missing"}
-    m = files.read("_manifest.json")
     if m["identity"] != options.identity():
         return {"state": "incompatible"}
     return {"state": "cursorless"} if m["payload"] is None else {"state": "checkpointed", "payload": m["payload"]}
 
 
 def reset_index(spark: SparkSession, path: str) -> str | None:
-    """Move an index aside; its new place, or None if there is none."""
+    """Move an index aside; its new place, or None if there is none. What else stands at either place is left alone."""
     files = _Files(spark, path.rstrip("/"))
-    if not files.exists(""):
+    if not files.names():
         return None
-    to = f"{path.rstrip('/')}.fulltext-retired"
-    files.fs.delete(files.path(to), True)
-    files.fs.rename(files.path(path.rstrip("/")), files.path(to))
+    if not files.numbers("manifest"):
+        raise SearchError("E_INDEX_CORRUPT", f"what stands at {path} is no index")
+    reclaim_retired(spark, path)
+    to = f"{path.rstrip('/')}{_RETIRED}"
+    if not files.fs.rename(files.path(path.rstrip("/")), files.path(to)):
+        raise SearchError("E_STORAGE", f"can't move {path}")
     return to
 
 
 def reclaim_retired(spark: SparkSession, path: str) -> bool:
-    files = _Files(spark, path.rstrip("/"))
-    return bool(files.fs.delete(files.path(f"{path.rstrip('/')}.fulltext-retired"), True))
-
-
+    """Delete the index that reset_index moved aside, if there is one; nothing but an index is deleted."""
+    files = _Files(spark, f"{path.rstrip('/')}{_RETIRED}")
+    if not files.names():
+        return False
+    if not files.numbers("manifest"):
+        raise SearchError("E_INDEX_CORRUPT", f"what stands at {files.top} is no index")
+    return bool(files.fs.delete(files.path(files.top), True))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.index import FullTextIndex, as_records
+from ..sources.index import TextIndex, as_records
 
 
-def publish_batch(index: FullTextIndex, changes: DataFrame, batch: int, **columns) -> bool:
+def publish_batch(index: TextIndex, changes: DataFrame, batch: int, **columns) -> bool:
     """Apply one batch of changes (op 'upsert' or 'delete', seq for order within an id); False if it was published before."""
     done = index.committed_payload
     if done is not None and int(done) >= batch:
@@ -21,7 +21,7 @@ def publish_batch(index: FullTextIndex, changes: DataFrame, batch: int, **column
     return True
 
 
-def ingest(index: FullTextIndex, changes: DataFrame, checkpoint: str, trigger: dict | None = None, **columns) -> StreamingQuery:
+def ingest(index: TextIndex, changes: DataFrame, checkpoint: str, trigger: dict | None = None, **columns) -> StreamingQuery:
     """Run a stream of changes into the index. A batch that is replayed after a failure changes nothing."""
     out = changes.writeStream.foreachBatch(lambda df, n: publish_batch(index, df, n, **columns) and None)
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
