@@ -50,31 +50,31 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def schedule(quota: DataFrame, n_slots: int) -> DataFrame:
-    """slot, source, rank: which source each slot of the mix draws its next block from.
+    """slot, sid, rank: which source each slot of the mix draws its next block from. *quota* has sid, source, words, need.
 
     Slot k's golden-ratio point, in integers so that it is the same everywhere, falls into the source whose
     part of the cumulative targets holds it. Bands of the unit interval turn that range search into an
     equi-join. Ranks come from counts of each run of RUN slots and places within the run, never from one
     task that sees all slots of a source. Each source gets the slots that its quota needs: points beyond them
-    are idle, missing ones follow at the end.
+    are idle, and the few that the points leave out follow at the end.
     """
     spark = quota.sparkSession
     by = Window.orderBy(F.col("source").asc_nulls_last())
-    cut = quota.withColumn("hi", F.sum("words").over(by)).withColumn("lo", F.col("hi") - F.col("words")).withColumn("all", F.sum("words").over(Window.partitionBy()))
+    cut = quota.withColumn("hi", F.sum("words").over(by)).withColumn("lo", F.col("hi") - F.col("words")).withColumn("all", F.sum("words").over(Window.partitionBy())).withColumn("of", F.count("*").over(Window.partitionBy()))
     point = lambda c: F.floor(F.col(c) / F.col("all") * PERIOD).cast("long")
-    cut = cut.where("words > 0").select("source", "sid", point("lo").alias("lo"), point("hi").alias("hi"))
+    inside = cut.where("words > 0").select("source", "sid", point("lo").alias("lo"), point("hi").alias("hi"))
     width = PERIOD // BANDS
-    bands = cut.where("hi > lo").withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    bands = inside.where("hi > lo").withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") % PERIOD * STEP % PERIOD).alias("point")).withColumn("band", F.floor(F.col("point") / width))
     put = slots.join(bands, "band").where("lo <= point and point < hi").select("slot", "sid", F.floor(F.col("slot") / RUN).alias("run"))
     runs = put.groupBy("sid", "run").agg(F.count("*").alias("n"))
     runs = runs.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = put.withColumn("at", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1)
     ranked = placed.join(runs, ["sid", "run"]).select("slot", "sid", (F.col("before") + F.col("at")).alias("rank"))
-    need = quota.select("sid", "need")
+    need = cut.select("sid", "need", "of")
     have = runs.groupBy("sid").agg(F.sum("n").alias("have"))
-    late = need.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("need > have").select("sid", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"))
-    late = late.select((F.lit(n_slots) + F.col("rank")).alias("slot"), "sid", "rank")
+    late = need.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("need > have").select("sid", "of", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"))
+    late = late.select((F.lit(n_slots) + F.col("rank") * F.col("of") + F.col("sid")).alias("slot"), "sid", "rank")
     return ranked.join(need, "sid").where("rank < need").select("slot", "sid", "rank").unionByName(late)
 
 
@@ -93,39 +93,53 @@ def shuffled(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(strips, ["sid", "strip"]).select("sid", "doc_id", "size", (F.col("before") + F.col("at")).alias("start"))
 
 
+def dealt(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, documents in their source's shuffled stream, what each slot draws): see stream() and mix()."""
+    sized = stash(sizes(docs), "mix-sizes")
+    per = targets(sized).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = per.withColumn("words", F.floor(F.col("target") + 1e-6).cast("long")).withColumn("need", F.ceil(F.col("words") / block))
+    per = stash(per, "mix-sources")
+    words = per.agg(F.sum("words")).first()[0] or 0
+    places = stash(shuffled(sized, per.select(F.col("source").alias("name"), "sid")), "mix-places")
+    slots = schedule(per.select("source", "sid", "words", "need"), -(-words // block))
+    # A source's stream comes again and again, and rank r draws words r * block and on of it; the last rank ends with the target.
+    turns = places.where("size > 0").join(per.select("sid", "source_size", "words"), "sid").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
+    turns = turns.withColumn("lo", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("words"))).where("lo < hi")
+    ranks = F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))
+    pieces = turns.withColumn("rank", F.explode(ranks)).select(
+        "sid", "rank", "doc_id", "size", "start", "turn",
+        (F.greatest(F.col("lo"), F.col("rank") * block) - F.col("lo")).alias("first"),
+        (F.least(F.col("hi"), (F.col("rank") + 1) * block) - F.col("lo")).alias("upto"),
+    )
+    return per, places, slots.join(pieces, ["sid", "rank"])
+
+
+def stream(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix in the order in which it is drawn: slot, source, rank, turn, start, doc_id, first, upto.
+
+    A slot has *block* words of one source, the last of a source fewer: words first to upto (not included) of each
+    document, by *start*, its place in the source's stream, in turn after turn. The rows come in no order of their own; sort by slot, turn, start.
+    """
+    per, _, pieces = dealt(docs, block)
+    return pieces.join(per.select("sid", "source"), "sid").select("slot", "source", "rank", "turn", "start", "doc_id", "first", "upto")
+
+
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of *docs*: doc_id, source, size, source_size, target, taken (words, repeats counted).
+    """Per row of *docs*: doc_id, source, size, source_size, target, taken (words, repeats counted), first_slot and n_draws.
 
-    A source's stream is cut into blocks of *block* words; rank r of the schedule takes block r modulo the
-    number of blocks, so passes over a source follow each other, and the last rank of a source takes the part
-    that fills its target. Hence a source gives its target's whole words, and no row over PASSES times its
+    What is taken is what the slots of the schedule draw: first_slot is the first one that draws on the row (null:
+    none does), n_draws how many times one does. Slots of a source are as many as its target fills, the last one in part. Hence a
+    source gives its target's whole words, and no row over PASSES times its
     size. Null and empty texts have size 0 and give 0; a null source is one more, listed last; a null id is
-    shuffled as an empty one; repeated rows are rows of their own; reruns agree. Empty tables give empty results.
+    shuffled as an empty one; ties of the shuffle go by id, then size; repeated rows are rows of their own, a very long
+    text is drawn in many slots; reruns agree. Empty tables give empty results. Sources are a table of a row each, which
+    one task orders; no task sees all rows or slots of a source.
     """
-    spark = docs.sparkSession
-    sized = stash(sizes(docs), "mix-sizes")
-    per = targets(sized).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    per = stash(per.withColumn("words", F.floor(F.col("target") + 1e-6).cast("long")), "mix-sources")
-    total = per.agg(F.sum("words"), F.count("*")).first()
-    words = total[0] or 0
-    places = stash(shuffled(sized, per.select(F.col("source").alias("name"), "sid")), "mix-places")
-    blocks = F.ceil(F.col("source_size") / block)
-    need = F.floor(F.col("words") / F.col("source_size")) * blocks + F.ceil(F.col("words") % F.col("source_size") / block)
-    plan = schedule(per.select("source", "sid", "words", F.when(F.col("source_size") > 0, need).otherwise(0).alias("need")), -(-words // block))
-    info = per.select("sid", "source", "source_size", "target", "words")
-    # Ranks to blocks: how much of block b each pass takes. A source's last rank may take a part of a block,
-    # and its last block may be short; a pass begins anew at word 0, so that ranks are of whole passes first.
-    ranks = plan.join(info, "sid").withColumn("block", F.col("rank") % blocks).withColumn("pass", F.floor(F.col("rank") / blocks))
-    width = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    ranks = ranks.withColumn("upto", F.greatest(F.lit(0), F.least(width, F.col("words") - F.col("pass") * F.col("source_size") - F.col("block") * block)))
-    drawn = ranks.groupBy("sid", "block").agg(F.sum(F.when(F.col("upto") == width, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("upto") < width, F.col("upto")).otherwise(0)).alias("part"))
-    pieces = places.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    lo = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
-    hi = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block)
-    got = pieces.join(drawn, ["sid", "block"]).select("sid", "doc_id", "size", "start", (F.col("whole") * (hi - lo) + F.greatest(F.lit(0), F.least(hi, F.col("part")) - lo)).alias("taken"))
-    nothing = places.select("sid", "doc_id", "size", "start", F.lit(0).cast("long").alias("taken"))
-    # start tells rows apart but for those of no words, which take none; the count keeps those that repeat.
-    sums = got.groupBy("sid", "doc_id", "size", "start").agg(F.sum("taken").alias("taken"))
-    filled = places.where("size > 0").join(sums.drop("doc_id", "size"), ["sid", "start"], "left").select("sid", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
-    out = filled.unionByName(nothing.where("size = 0").drop("start")).join(info, "sid")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    per, places, pieces = dealt(docs, block)
+    # start tells rows apart but for those of no words, which take none.
+    sums = pieces.groupBy("sid", "start").agg(F.sum(F.col("upto") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_draws"))
+    filled = places.where("size > 0").join(sums, ["sid", "start"], "left").select("sid", "doc_id", "size", "taken", "first_slot", "n_draws")
+    none = F.lit(None).cast("long")
+    out = filled.unionByName(places.where("size = 0").select("sid", "doc_id", "size", none.alias("taken"), none.alias("first_slot"), none.alias("n_draws")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.join(per.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_draws"))

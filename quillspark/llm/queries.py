@@ -31,7 +31,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_read(spark, sf_dir, "documents")).drop("source")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,21 @@ WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
  l AS (SELECT *, (total - filled)::DOUBLE / rest AS level FROM f),
  m AS (SELECT min({{'place': place, 'level': level}}) FILTER (WHERE level * weight < 3 * source_size) AS first FROM l),
  t AS (SELECT source, source_size, CASE WHEN place >= first.place THEN first.level * weight ELSE (3 * source_size)::DOUBLE END AS target FROM l, m),
- p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 1e-6)::BIGINT AS words,
+ u AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, floor(target + 1e-6)::BIGINT AS words FROM t),
+ v AS (SELECT *, (words + 1023) // 1024 AS need, sum(words) OVER (ORDER BY sid) AS upto, sum(words) OVER () AS total, count(*) OVER () AS n FROM u),
+ c AS (SELECT sid, need, floor((upto - words)::DOUBLE / total::DOUBLE * 2147483648)::BIGINT AS lo, floor(upto::DOUBLE / total::DOUBLE * 2147483648)::BIGINT AS hi FROM v WHERE words > 0),
+ k AS (SELECT range AS slot, range % 2147483648 * 1327217885 % 2147483648 AS point FROM range((SELECT coalesce(max((total::BIGINT + 1023) // 1024), 0) FROM v))),
+ h AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM k JOIN c ON lo <= point AND point < hi),
+ p AS (SELECT row_number() OVER () AS rid, d.doc_id, d.size, v.source_size, v.target, v.words, v.sid, v.n,
    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS begins
-   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
- (CASE WHEN size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(begins + size, words % source_size) - begins) END)::BIGINT AS taken FROM p""",
+   FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+ e AS (SELECT *, unnest([0, 1, 2]) AS turn FROM p),
+ g AS (SELECT rid, doc_id, size, source_size, target, sid, n, turn, turn * source_size + begins AS a, least(turn * source_size + begins + size, words) AS z FROM e),
+ r AS (SELECT *, unnest(CASE WHEN a < z THEN range((a // 1024)::BIGINT, ((z - 1) // 1024 + 1)::BIGINT) ELSE [-1] END) AS rank FROM g),
+ y AS (SELECT r.*, CASE WHEN rank >= 0 THEN coalesce(h.slot, (SELECT count(*) FROM k) + rank * n + sid) END AS slot,
+   CASE WHEN rank >= 0 THEN least(z, (rank + 1) * 1024) - greatest(a, rank * 1024) ELSE 0 END AS words FROM r LEFT JOIN h USING (sid, rank))
+SELECT doc_id, size, source_size, target, sum(words)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(slot) AS n_draws
+ FROM y GROUP BY rid, doc_id, size, source_size, target""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
  w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM d),
