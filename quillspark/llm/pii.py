@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,17 +13,25 @@ from pyspark.sql import functions as F
 
 from ._base import arrow_map, chunks, drop, keyed, stash
 
-#: The seed kinds in the order in which equal starts are listed; learned spans come after them.
-KINDS = ("email", "ip", "card", "phone", "learned")
+#: The seed kinds in the order in which equal starts are listed, the base ones first; learned spans come after them.
+KINDS = ("email", "ip", "card", "phone", "secret", "learned")
+BASE = 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: An instance is an unspaced run that holds a digit and has six characters or more without its edges.
-_THING = re.compile(r"[^\s|]*[0-9][^\s|]*")
+#: Published forms of credentials, and names that a value is given to as a credential.
+_ISSUED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[opsru]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})(?![0-9A-Za-z])")
+_GIVEN = re.compile(r"[=:]\s?[\"']?([^\s\"',;<>()]{8,})")
+_NAMED = re.compile(r"(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password|pwd)[\"']?\s?$", re.IGNORECASE)
+#: An instance has six characters or more without its edges: groups of letters and digits with single spaces between them,
+#: an unspaced run that holds a digit, what stands in quotes without a space, or what follows an equals sign.
+_THING = re.compile(r"(?<![0-9A-Za-z])[A-Z]{0,2}[0-9]{2,6}(?: [0-9A-Z]{2,6}){2,}(?![0-9A-Za-z])|[^\s|]*[0-9][^\s|]*|(?<=[\"'=])[^\s\"'=]{6,}(?=[\"']|(?<==)\S|\s)")
 _EDGE = "\"'`()[]{}<>,;:.!?*#$%&|"
+#: A word of more characters stands in a pattern by its digest.
+LONG = 64
 
 
 def _bare(digits: str) -> str:
@@ -63,37 +72,55 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shape(word: str) -> str:
-    """A coarse class: runs of digits, letters and the rest, so that no pattern names a person."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", word))[:16]
-
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of credentials by their issuers' forms or by the name that they are given to; more seeds of patterns."""
+    out = [(m.start(), BASE, m.end()) for m in _ISSUED.finditer(text)]
+    for m in _GIVEN.finditer(text):
+        if _NAMED.search(text[max(0, m.start() - 16) : m.start()]) and any(c.isdigit() for c in m[1]):
+            out.append((m.start(1), BASE, m.end(1)))
+    return sorted(set(out))
 
-def _words(words: list[str]) -> str:
-    words = [w.strip(_EDGE).lower() or w[:4] for w in words]
-    return " ".join(_shape(w) if any(c.isdigit() for c in w) else w for w in words)
 
+def _shape(word: str) -> str:
+    """A coarse class: runs of digits, letters and the rest, so that no pattern names a person."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", word))
 
-def _left(text: str, start: int) -> str:
-    """The lexical pattern before a span: two words, case and edge marks aside."""
-    return _words(text[max(0, start - 80) : start].split()[-2:])
 
+def _word(word: str) -> str:
+    """A word of a pattern: case and edge marks aside, but for a word of marks; whole, however long it is."""
+    w = word.strip(_EDGE).lower() or word
+    w = _shape(w) if any(c.isdigit() for c in w) else w
+    return w if len(w) <= LONG else hashlib.blake2b(w.encode(), digest_size=16).hexdigest()
 
-def _context(text: str, start: int, end: int) -> str:
-    """The same with the word that follows."""
-    return f"{_left(text, start)} _ {_words(text[end : end + 40].split()[:1])}"
 
+def instances(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool, list[str]]]:
+    """(start, end, value, seeded, patterns) of each identifier-like run of the text, and of the seeds *found* (sorted).
 
-def instances(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool]]:
-    """(start, end, value, seeded) of each identifier-like run of the text."""
-    spans = [(s, e) for s, _, e in found]
-    for s, e in spans:
-        yield s, e, text[s:e], True
+    Patterns are the two words before it, and these with what follows. A word that goes on into the run, or out of it,
+    is a word of the pattern as far as it is outside. Both lists are read once, side by side.
+    """
+    places = [(s, e, True) for s, _, e in found]
+    upto, at = 0, 0
     for m in _THING.finditer(text):
         raw = m.group()
         s = m.start() + len(raw) - len(raw.lstrip(_EDGE))
         e = m.end() - (len(raw) - len(raw.rstrip(_EDGE)))
-        if e - s >= 6 and not any(a < e and s < b for a, b in spans):
-            yield s, e, text[s:e], False
+        while at < len(found) and found[at][0] < e:
+            upto = max(upto, found[at][2])
+            at += 1
+        if e - s >= 6 and upto <= s:
+            places.append((s, e, False))
+    if not places:
+        return
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    starts = [s for s, _ in words]
+    for s, e, seeded in places:
+        k = bisect_right(starts, s) - 1
+        before = [text[x:y] for x, y in words[max(0, k - 2) : k]] + ([text[starts[k] : s]] if starts[k] < s else [])
+        j = bisect_right(starts, e - 1) - 1
+        after = text[e : words[j][1]] or (text[slice(*words[j + 1])] if j + 1 < len(words) else "")
+        left = " ".join(map(_word, before[-2:]))
+        yield s, e, text[s:e], seeded, [left, f"{left} _ {_word(after)}"]
 
 
 _PASS = "_id long, _th long, doc_id long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, occ array<struct<start:int,end:int,value:string,seeded:boolean,patterns:array<string>>>"
@@ -103,6 +130,18 @@ def _write(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def apart(spans: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of *spans* that touch none of *found* and none of their own before them; both are sorted."""
+    out, upto, at = [], 0, 0
+    for s, k, e in spans:
+        while at < len(found) and found[at][0] < e:
+            upto, at = max(upto, found[at][2]), at + 1
+        if upto <= s:
+            out.append((s, k, e))
+            upto = e
+    return out
+
+
 def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The one reading of the texts: seed spans, and the identifier-like runs with their patterns."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -111,9 +150,10 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, sha, occ = [], [], []
         for text in b.column(3).to_pylist():
             found = seeds(text)
-            base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
             sha.append(hashlib.sha256(_write(found).encode()).hexdigest())
-            occ.append([{"start": s, "end": e, "value": hashlib.blake2b(v.encode(), digest_size=8).hexdigest(), "seeded": known, "patterns": [*dict.fromkeys((_left(text, s), _context(text, s, e)))]} for s, e, v, known in instances(text, found)])
+            found = sorted([*found, *apart(secrets(text), found)])
+            base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
+            occ.append([{"start": s, "end": e, "value": hashlib.blake2b(v.encode(), digest_size=8).hexdigest(), "seeded": known, "patterns": p} for s, e, v, known, p in instances(text, found)])
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(base, span), pa.array(sha), pa.array(occ, run)], names=["_id", "_th", "doc_id", "base", "base_sha256", "occ"])
 
 
@@ -144,11 +184,13 @@ def learn(read: DataFrame, rounds: int = 3, confidence: float = 0.8, support: in
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
-    """Personal data in each row's whole text: doc_id, counts by kind, base_sha256, spans, n_learned.
+    """Personal data in each row's whole text: doc_id, counts by kind, base_sha256, spans, n_spans, n_secret, n_learned.
 
-    Seed spans stay as found; learned ones, of kind 'learned', never overlap them. Offsets are code points, ends
+    Seed spans stay as found: the base kinds, and credentials that touch none of these, of kind 'secret'. Learned ones, of
+    kind 'learned', never overlap them. Offsets are code points, ends
     exclusive. A null text counts as empty and has no spans; rows that repeat id and text get equal results.
-    Null ids stay null; other columns are ignored; an empty table gives an empty result.
+    Null ids stay null; other columns are ignored; an empty table gives an empty result. A very long text is read
+    once, in time that grows with its length alone; so is a word of any length in a pattern.
     """
     read = stash(arrow_map(keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long")), _pass, _PASS), "pii-pass")
     more = learn(read, rounds, confidence, support).groupBy("_id", "_th").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("learned")).alias("kind"), "end")).alias("more"))
@@ -157,5 +199,6 @@ def find_pii(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
     names = F.array(*map(F.lit, KINDS))
     spell = F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"]))
     kinds = F.transform("base", lambda x: x["kind"])
-    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return out.select("doc_id", *counts, "base_sha256", F.array_join(spell, ",").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_learned"))
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE + 1)]
+    learned = F.coalesce(F.size("more"), F.lit(0)).cast("long")
+    return out.select("doc_id", *counts[:BASE], "base_sha256", F.array_join(spell, ",").alias("spans"), (F.size("base") + learned).alias("n_spans"), counts[BASE], learned.alias("n_learned"))
