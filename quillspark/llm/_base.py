@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is there only once imported
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ NO_ID = -(2**63)
 
 _scratch: set[str] = set()
 
+_M, _N = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: below spark.checkpoint.dir, which all executors share.
@@ -109,6 +113,57 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1
             yield b.slice(at)
 
 
+class Rolling:
+    """Karp-Rabin values of all windows of any length of a row of ids, modulo 2^64: each from the sums of two prefixes."""
+
+    def __init__(self, ids: np.ndarray):
+        x = ids.astype(np.uint64) * _N
+        x ^= x >> np.uint64(29)
+        # sum of x[k] * M^(-k): a window's sum times M^start depends on the window alone.
+        n = len(ids)
+        self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M, np.uint64)]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(x * np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE, np.uint64)])[:n], dtype=np.uint64), dtype=np.uint64)])
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The values of the windows from *start* to *end* (not included), not yet mixed."""
+        return (self.sums[end] - self.sums[start]) * self.up[start]
+
+    def without_one(self, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The values of the same windows without what is at *place*."""
+        return (self.sums[place] - self.sums[start] + (self.sums[end] - self.sums[place + 1]) * _M) * self.up[start]
+
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.sums) <= n:
+            return np.zeros(0, np.uint64)
+        out = (self.sums[n:] - self.sums[:-n]) * self.up[: len(self.sums) - n]
+        return out ^ out >> np.uint64(31)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: one to one on 64 bits."""
+    h = (h ^ h >> np.uint64(30)) * _N
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def cut_off(df: DataFrame, count: str, most: int) -> int:
+    """The least count that at most *most* rows of *df* reach, as far as a histogram of counts tells it; no task sees all rows.
+
+    Counts below 4,096 are told apart, larger ones by their leading 12 bits.
+    """
+    n = F.col(count)
+    wide = F.greatest(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int") - 11)
+    low = F.when(n < 4096, n).otherwise(F.call_function("shiftleft", F.call_function("shiftright", n, wide), wide))
+    bins = df.where(n > 0).groupBy(low.alias("low")).count().collect()  # some ten thousand rows at most
+    at, left = 2**62, most
+    for r in sorted(bins, key=lambda r: -r[0]):
+        left -= r[1]
+        if left < 0:
+            break
+        at = r[0]
+    return at
+
+
 def components(edges: DataFrame, name: str, rounds: int = 100) -> DataFrame:
     """Connected components of edges (a, b): a table (node, label), label being the least node.
 

@@ -9,39 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import NO_ID, arrow_map, chunks, stash
+from ._base import NO_ID, Rolling, arrow_map, chunks, stash
 
 #: Words of the least match that a tile may be, and the part of an item's words that tiles must cover.
 SEED, COVERAGE = 5, 0.5
 #: Words of benchmark items that a pass over the documents holds; more items take more passes.
 SLICE = 2_000_000
 
-_M, _N = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_INVERSE = np.uint64(pow(int(_M), -1, 2**64))
-
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-class Rolling:
-    """Karp-Rabin values of all windows of any length of a row of ids, modulo 2^64: each from the values of two prefixes."""
-
-    def __init__(self, ids: np.ndarray):
-        x = ids.astype(np.uint64) * _N
-        x ^= x >> np.uint64(29)
-        # sum of x[k] * M^(-k): a window's sum times M^start depends on the window alone.
-        n = len(ids)
-        self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M, np.uint64)]), dtype=np.uint64)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(x * np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE, np.uint64)])[:n], dtype=np.uint64), dtype=np.uint64)])
-
-    def __call__(self, n: int) -> np.ndarray:
-        if len(self.sums) <= n:
-            return np.zeros(0, np.uint64)
-        out = (self.sums[n:] - self.sums[:-n]) * self.up[: len(self.sums) - n]
-        return out ^ out >> np.uint64(31)
-
-
 def _free(used: np.ndarray, n: int) -> np.ndarray:
     """Where *n* unmarked places in a row begin."""
     total = np.concatenate([[0], np.cumsum(used)])

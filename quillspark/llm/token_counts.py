@@ -11,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import arrow_map, chunks, stash
+from ._base import arrow_map, chunks, cut_off, stash
 
 #: Distinct pre-tokens that a task sums up before it sends them on.
 TABLE = 400_000
-#: Pre-tokens of most occurrences that are broadcast with their pieces, and characters up to which one stands for itself
+#: Pre-tokens of most occurrences that are broadcast at most with their pieces, and characters up to which one stands for itself
 #: there; longer ones go by a digest. So what is broadcast has a bound, and no other pre-token is in more than one of HEAD occurrences.
 HEAD, SHORT = 131_072, 64
 
@@ -119,8 +119,8 @@ def token_counts(docs: DataFrame, model: str, head: int = HEAD) -> DataFrame:
     units = arrow_map(rows.select("text"), _distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     table = stash(arrow_map(units, lambda it: _pieces(shared.value, it), "unit string, n long, pieces long"), "token-pieces")
     key = F.when(F.length("unit") <= SHORT, F.col("unit")).otherwise(F.concat(F.lit("\0"), F.md5("unit")))
-    top = table.select("n", key.alias("key"), "pieces").orderBy(F.desc("n"), "key").limit(head)
-    frequent = sc.broadcast({r[0]: r[1] for r in top.select("key", "pieces").toLocalIterator()})
+    top = table.where(F.col("n") >= cut_off(table, "n", head))
+    frequent = sc.broadcast({r[0]: r[1] for r in top.select(key.alias("key"), "pieces").toLocalIterator()})
     found = stash(arrow_map(rows, lambda it: _count(frequent.value, it), "rid long, doc_id long, n_bytes long, known long, unit string, n long"), "token-rest")
     rest = found.where("unit is not null").select("rid", "unit", "n").join(table.select("unit", "pieces"), "unit")
     rest = rest.groupBy("rid").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))

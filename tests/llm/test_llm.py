@@ -18,7 +18,7 @@ from quillspark.llm import quality_crf as C
 from quillspark.llm import quality_rules as Q
 from quillspark.llm import suffix_dedup as S
 from quillspark.llm import token_counts as T
-from quillspark.llm._base import components
+from quillspark.llm._base import components, cut_off
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, n long, start string, `odd name` string"
 
@@ -264,14 +264,26 @@ def test_line_dedup_by_length(spark):
 
 
 def test_line_keys():
-    a = prose(3, 9).split()
+    import numpy as np
+
+    a = [w.encode() for w in prose(3, 9).split()]
     for k in range(9):
-        for b in (a[:k] + ["x"] + a[k + 1 :], a[:k] + a[k + 1 :], a[:k] + ["x"] + a[k:]):
-            x, y = [w.encode() for w in a], [w.encode() for w in b]
-            assert set(L.half_keys(x)) & set(L.half_keys(y)) and L.within_one(x, y)
-            vx, vy = set(L.variants(x)), set(L.variants(y))
+        for b in (a[:k] + [b"x"] + a[k + 1 :], a[:k] + a[k + 1 :], a[:k] + [b"x"] + a[k:]):
+            (view, at), = L.views([a, b], L.Words())
+            halves = view.half_keys()
+            assert at.tolist() == [0, 1] and set(halves[0]) & set(halves[1]) and L.within_one(a, b)
+            line, v, place = view.variants(np.array([7, 7]))
+            vx, vy = (set(zip(v[line == n].tolist(), place[line == n].tolist(), strict=True)) for n in (0, 1))
             assert any((v, p) in vy for v, p in vx if p >= 0) or any((v, -3 - p) in vy for v, p in vx if p < 0)
     assert not L.within_one(list("abcd"), list("badc"))
+    long = [w.encode() for w in prose(5, 60).split()]
+    for cut in range(0, 58):
+        near = long[:cut] + [b"new"] + long[cut + 2 :]
+        (view, _), = L.views([long, near, a * 9], L.Words())
+        line, key = view.run_keys()
+        of = [set(key[line == n].tolist()) for n in range(3)]
+        assert of[0] & of[1] and not of[0] & of[2]
+    assert [v.kind for v, _ in L.views([[b"short", b"line"], a], L.Words())] == ["w", "c"]
 
 
 def brute_rules(text):
@@ -325,6 +337,15 @@ def test_ngram_join(spark, monkeypatch, block):
     assert left.columns == table(spark, []).columns and {r["doc_id"] for r in left.collect() if r["doc_id"] and r["doc_id"] >= 50} == {50, 82, 83, 85}
 
 
+def test_cut_off(spark):
+    counts = [1] * 50 + [2] * 20 + [3] * 10 + [5000, 5001, 9000, 2**40]
+    df = spark.createDataFrame([(c,) for c in counts], "n long")
+    for most in (0, 1, 3, 4, 14, 20, 34, 200):
+        at = cut_off(df, "n", most)
+        assert sum(c >= at for c in counts) <= most
+    assert cut_off(df, "n", 34) == 2 and cut_off(df, "n", 33) == 3 and cut_off(df, "n", 200) == 1
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 200), (301, 300)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
