@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is there only once imported
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ BATCH_ROWS = 1000
 #: Stands for a missing doc_id in keys.
 NO_ID = -(2**63)
 
+#: Entries that a task packs together, entries of a lane, parts that a pack is cut into at most, and entries of a key in a pack that
+#: go to its lane at most.
+PACK, LANE, SPREAD, CROWD = 1 << 20, 1 << 20, 1024, 64
+
 _scratch: set[str] = set()
 
 _M, _N = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -146,6 +151,159 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+_SEGMENT = 1 << 20
+_BYTES = np.random.default_rng(71).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: list[np.ndarray] = []
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word of UTF-8 text: runs of anything but the six ASCII spaces.
+
+    Hashes are made from running sums, a segment of the text at a time, so memory has a bound beside the words themselves, and a word
+    of any length costs its length.
+    """
+    if not _powers:
+        for m in (_M, _INVERSE):
+            _powers.append(np.cumprod(np.concatenate([[np.uint64(1)], np.full(_SEGMENT, m, np.uint64)]), dtype=np.uint64))
+    up, down = _powers
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.concatenate([[True], _SPACE[raw], [True]])
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = turns[0::2], turns[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    for off in range(0, len(raw), _SEGMENT):
+        part = raw[off : off + _SEGMENT]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[part] * down[: len(part)], dtype=np.uint64)])
+        a, b = np.searchsorted(ends, off, "right"), np.searchsorted(starts, off + len(part), "left")
+        if a == b:
+            continue
+        s, e = starts[a:b] - off, np.minimum(ends[a:b] - off, len(part))
+        scale = up[np.maximum(s, 0)]
+        if s[0] < 0:  # the word goes on from the segment before
+            scale[0] = np.uint64(pow(int(_INVERSE), int(-s[0]), 2**64))
+        out[a:b] += (sums[e] - sums[np.maximum(s, 0)]) * scale
+    return starts, ends, mix64(out)
+
+
+def shut(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, byte by byte of their numbers side by side, compressed."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), np.uint8)
+    out, at = [], 0
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out
+
+
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys (uint64), what has them (int64), tags (uint32)
+
+
+def ordered(entries: Iterable[Entries]) -> Entries:
+    """The entries by key, then by what has it, each once."""
+    key, lid, tag = (np.concatenate(c) for c in zip(*entries, strict=True))
+    by = np.lexsort((tag, lid, key))
+    key, lid, tag = key[by], lid[by], tag[by]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lid[1:] != lid[:-1]) | (tag[1:] != tag[:-1])
+    return key[new], lid[new], tag[new]
+
+
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where groups of equal keys in a row begin, the group of each)."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+class Packs:
+    """Entries on their way to the lanes that their keys name, packed together: a lane meets all entries of a key.
+
+    A key that has more than CROWD entries in one pack sends these on by themselves, but for the first ones, which show the lane that
+    others have it. They go to lanes below zero, where they need meet no others; so no lane holds a key without bound.
+    """
+
+    SCHEMA = "lane long, m int, data binary"
+
+    def __init__(self, lanes: int):
+        self.lanes, self.held, self.n, self.loose = lanes, [], 0, 1
+
+    def add(self, *entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(entries)
+        self.n += len(entries[0])
+        if self.n >= PACK:
+            yield self.send()
+
+    def send(self) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        if self.n:
+            key, lid, tag = ordered(self.held)
+            starts, of = groups(key)
+            crowd = np.arange(len(key)) - starts[of] >= CROWD
+            keep = ~crowd
+            cuts = [(-self.loose - (TaskContext.get().partitionId() << 32 if TaskContext.get() else 0), key[crowd], lid[crowd], tag[crowd])] if crowd.any() else []
+            self.loose += bool(cuts)
+            key, lid, tag = key[keep], lid[keep], tag[keep]
+            lane = ((key >> np.uint64(32)) * np.uint64(self.lanes) >> np.uint64(32)).astype(np.int64)
+            at = [0, *(np.flatnonzero(np.diff(lane)) + 1).tolist(), len(lane)]
+            cuts += [(int(lane[i]), key[i:j], lid[i:j], tag[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            rows = [(k, len(e[0]), shut(*e)) for k, *e in cuts]
+        self.held, self.n = [], 0
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["lane", "m", "data"])
+
+
+def _lanes(decide: Callable[[Entries, bool], pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What *decide* says of each lane's entries, in order, and of crowds (true), pack by pack. Rows come sorted by lane."""
+    now, held = None, []
+    for b in batches:
+        for lane, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and lane != now:
+                yield decide(ordered(held), now < 0)
+                held = []
+            now = lane
+            held.append(opened(data, n, np.uint64, np.int64, np.uint32))
+    if held:
+        yield decide(ordered(held), now < 0)
+
+
+def _again(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs for more lanes."""
+    packs = Packs(lanes)
+    for b in batches:
+        for lane, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if lane < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int64()), pa.array([n], pa.int32()), pa.array([data], pa.binary())], names=["lane", "m", "data"])
+            else:
+                yield from packs.add(*opened(data, n, np.uint64, np.int64, np.uint32))
+    yield packs.send()
+
+
+def first_lanes(lanes: int) -> int:
+    """Lanes of the first exchange."""
+    return max(1, min(lanes, SPREAD))
+
+
+def meet(packs: DataFrame, lanes: int, decide: Callable[[Entries, bool], pa.RecordBatch], schema: str) -> DataFrame:
+    """The rows of *schema* that *decide* makes of the entries of each of *lanes*; *packs* were made for first_lanes(lanes).
+
+    A pack is cut into SPREAD parts at most, however many lanes there are: with more lanes there is an exchange more.
+    """
+    n, at = packs.sparkSession.sparkContext.defaultParallelism, first_lanes(lanes)
+    while at < lanes:
+        more = min(lanes, at * SPREAD)
+        packs = arrow_map(packs.repartition(at, "lane"), lambda it, more=more: _again(more, it), Packs.SCHEMA)
+        at = more
+    return arrow_map(packs.repartition(max(n, at), "lane").sortWithinPartitions("lane"), lambda it: _lanes(decide, it), schema)
+
+
 def cut_off(df: DataFrame, count: str, most: int) -> int:
     """The least count that at most *most* rows of *df* reach, as far as a histogram of counts tells it; no task sees all rows.
 

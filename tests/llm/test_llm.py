@@ -8,6 +8,7 @@ from math import log10
 
 import pytest
 
+from quillspark.llm import _base as B
 from quillspark.llm import decontaminate as D
 from quillspark.llm import line_dedup as L
 from quillspark.llm import lm_score as M
@@ -269,7 +270,7 @@ def test_line_keys():
     a = [w.encode() for w in prose(3, 9).split()]
     for k in range(9):
         for b in (a[:k] + [b"x"] + a[k + 1 :], a[:k] + a[k + 1 :], a[:k] + [b"x"] + a[k:]):
-            (view, at), = L.views([a, b], L.Words())
+            (view, at), = L.Lines([b" ".join(a) + b"\n" + b" ".join(b)]).views()
             halves = view.half_keys()
             assert at.tolist() == [0, 1] and set(halves[0]) & set(halves[1]) and L.within_one(a, b)
             line, v, place = view.variants(np.array([7, 7]))
@@ -279,11 +280,27 @@ def test_line_keys():
     long = [w.encode() for w in prose(5, 60).split()]
     for cut in range(0, 58):
         near = long[:cut] + [b"new"] + long[cut + 2 :]
-        (view, _), = L.views([long, near, a * 9], L.Words())
+        (view, _), = L.Lines([b" ".join(x) for x in (long, near, a * 9)]).views()
         line, key = view.run_keys()
         of = [set(key[line == n].tolist()) for n in range(3)]
         assert of[0] & of[1] and not of[0] & of[2]
-    assert [v.kind for v, _ in L.views([[b"short", b"line"], a], L.Words())] == ["w", "c"]
+    lines = L.Lines([b"  short line\t\n\n", b"", b"\n" + b" ".join(a) + b"\nx"])
+    assert [v.kind for v, _ in lines.views()] == ["w", "c"] and lines.text.tolist() == [0, 2, 2] and lines.no.tolist() == [0, 1, 2]
+    assert [lines.words(k) for k in range(3)] == [b"short line", b" ".join(a), b"x"]
+
+
+def test_words_of(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(B, "_SEGMENT", 8)
+    monkeypatch.setattr(B, "_powers", [])
+    text = ("one two  " + "x" * 50 + " two\n" + "x" * 50 + "\tone é").encode()
+    start, end, h = B.words_of(text)
+    words = [text[a:z] for a, z in zip(start, end, strict=True)]
+    assert words == text.split() and len(set(h.tolist())) == len(set(words))
+    for w in set(words):
+        assert len({x for x, v in zip(h.tolist(), words, strict=True) if v == w}) == 1
+    assert len(B.words_of(b"")[0]) == 0 and len(B.words_of(b" \n")[0]) == 0 and np.all(B.words_of(b"a")[1] == 1)
 
 
 def brute_rules(text):
@@ -337,6 +354,53 @@ def test_ngram_join(spark, monkeypatch, block):
     assert left.columns == table(spark, []).columns and {r["doc_id"] for r in left.collect() if r["doc_id"] and r["doc_id"] >= 50} == {50, 82, 83, 85}
 
 
+@pytest.mark.parametrize("pack, lane, spread, crowd", [(1 << 20, 1 << 20, 1024, 64), (5_000, 4_000, 2, 3)])
+def test_line_dedup_in_packs(spark, monkeypatch, pack, lane, spread, crowd):
+    """Keys of very many lines, more lanes than one exchange tells apart, and small packs change nothing."""
+    for name, value in (("PACK", pack), ("SPREAD", spread), ("CROWD", crowd), ("LANE", lane)):
+        monkeypatch.setattr(B, name, value)
+    monkeypatch.setattr(L, "LANE", lane // 40 if lane < 10_000 else lane)
+    common, base = prose(1, 24), prose(2, 12).split()
+    rows = [(k, f"{common} {prose(100 + k, 6)}") for k in range(60)]
+    rows += [(100 + k, " ".join(base[: k % 12] + [f"x{k}"] + base[k % 12 + 1 :])) for k in range(40)] + [(200 + k, prose(300 + k, 9)) for k in range(20)]
+    rows += [(300 + k, f"{common} {prose(100 + k, 6)} tail") for k in range(60)]
+    got = {r["doc_id"] for r in L.line_dedup(table(spark, rows)).collect() if r["n_removed"]}
+    lines = [(i, t.encode()) for i, t in rows]
+    assert got == {j for n, (_, x) in enumerate(lines) for j, y in lines[n + 1 :] if L.near(x, y)}
+
+
+def test_meet_finds_shared_keys(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 400, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys[:900] = keys[0]
+    rows = list(enumerate(keys.view(np.int64).tolist()))
+
+    def pack(lanes):
+        def run(batches):
+            packs = B.Packs(lanes)
+            for b in batches:
+                lid = b.column(0).to_numpy()
+                yield from packs.add(b.column(1).to_numpy().view(np.uint64), lid, np.zeros(len(lid), np.uint32))
+            yield packs.send()
+
+        return run
+
+    def decide(entries, crowd):
+        key, lid, _ = entries
+        starts, of = B.groups(key)
+        some = crowd | (np.diff(starts, append=len(key))[of] > 1)
+        return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(lid[some])], names=["k", "lid"])
+
+    df = spark.createDataFrame(rows, "lid long, k long").repartition(3)
+    count = Counter(k for _, k in rows)
+    for lanes in (1, 7, 3000):
+        got = B.meet(B.arrow_map(df, pack(B.first_lanes(lanes)), B.Packs.SCHEMA), lanes, decide, "k long, lid long").collect()
+        assert sorted((r[1], r[0]) for r in got) == sorted(r for r in rows if count[r[1]] > 1)
+
+
 def test_cut_off(spark):
     counts = [1] * 50 + [2] * 20 + [3] * 10 + [5000, 5001, 9000, 2**40]
     df = spark.createDataFrame([(c,) for c in counts], "n long")
