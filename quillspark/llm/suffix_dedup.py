@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._base import arrow_map, chunks, drop, keyed, stash
+from ._base import LANE, Entries, Packs, arrow_map, chunks, drop, first_lanes, groups, keyed, meet, mix64, stash
 
 #: Bytes of a match, bytes of the sampled strings, and batches that a whole table is dealt to.
 WINDOW, K, BATCHES = 200, 32, 4
 #: Bytes that the rests of a key have in one row at about most; keys with more are dealt to several rows.
 TOGETHER = 1 << 15
+#: Runs of a text that are sent at once.
+ROWS = 100_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(9_973).integers(0, 2**63, 256, np.uint64)
@@ -40,37 +42,30 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """The least of each *width* values in a row."""
-    n = 1
-    out = h
-    while 2 * n <= width:
-        out = np.minimum(out[: len(out) - n], out[n:])
-        n *= 2
-    rest = width - n
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
-
+def runs(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least hash, first window, last window) of each run: windows in a row whose least hash, the leftmost of equal ones, is at one place.
 
-def runs(data: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bool]]:
-    """(least hash, first window, last window, repeats) of each run; repeats: the hash is found twice within it."""
+    Where that place is within a window depends on its bytes alone, so equal windows are at the same distance of theirs, and no two
+    windows of a run are equal. A run has as many windows as a window has K-byte strings at most, whatever the text repeats.
+    """
+    none = np.zeros(0, np.int64)
     if len(data) < window:
-        return []
+        return none.astype(np.uint64), none, none
     h = _grams(np.frombuffer(data, np.uint8))
-    low = _least(h, window - K + 1)
-    cut = np.flatnonzero(low[1:] != low[:-1]) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(low)]]) - 1
-    values = low[first]
-    # A value that stands at two places within the run's windows may make two of its own windows equal.
-    spread = np.sort(np.flatnonzero(np.isin(h, values)))
-    owner = {}
-    for p, v in zip(spread.tolist(), h[spread].tolist(), strict=True):
-        owner.setdefault(v, []).append(p)
-    out = []
-    for v, a, b in zip(values.tolist(), first.tolist(), last.tolist(), strict=True):
-        places = owner[v]
-        twice = len(places) > 1 and sum(a <= p <= b + window - K for p in places) > 1
-        out.append((v, a, b, twice))
-    return out
+    width = window - K + 1
+    at, n = np.arange(len(h), dtype=np.int32), 1
+
+    def lower(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(h[x] <= h[y], x, y)
+
+    while 2 * n <= width:
+        at = lower(at[: len(at) - n], at[n:])
+        n *= 2
+    if width > n:
+        at = lower(at[: len(at) - (width - n)], at[width - n :])
+    cut = np.flatnonzero(at[1:] != at[:-1]) + 1
+    first = np.concatenate([[0], cut])
+    return h[at[first]], first, np.concatenate([cut, [len(at)]]) - 1
 
 
 def _digest(data: bytes) -> int:
@@ -79,14 +74,17 @@ def _digest(data: bytes) -> int:
 
 
 def _suffixes(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+    """The runs of all texts: their document, least hash, first and last window, and a digest of their bytes."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
     for b in chunks(batches):
-        rows = []
         for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             data = text.encode()
-            rows += [(i, th, v - 2**63, a, z, twice, _digest(data[a : z + window])) for v, a, z, twice in runs(data, window)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_id", "_th", "key", "a", "z", "twice", "rest"])
+            key, first, last = runs(data, window)
+            for k in range(0, len(key), ROWS):
+                a, z = first[k : k + ROWS], last[k : k + ROWS]
+                rest = [_digest(data[x : y + window]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+                cols = ([i] * len(a), [th] * len(a), (key[k : k + ROWS] ^ np.uint64(1 << 63)).view(np.int64), a.astype(np.int32), z.astype(np.int32), rest)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "_th", "key", "a", "z", "rest"])
 
 
 class SuffixFamily:
@@ -102,16 +100,16 @@ class SuffixFamily:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index *batch*; returns key of what it shares within itself or with the levels."""
-        new = stash(batch.groupBy("key", "rest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "a", "z")).alias("at"), F.max("twice").alias("twice")).sortWithinPartitions("key", "rest"), "suffix-level")
-        own = new.groupBy("key").agg(F.sum("n").alias("n"), F.max("twice").alias("twice"))
-        met = own.where("n > 1 or twice").select("key")
+        new = stash(batch.groupBy("key", "rest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "a", "z")).alias("at")).sortWithinPartitions("key", "rest"), "suffix-level")
+        own = new.groupBy("key").agg(F.sum("n").alias("n"))
+        met = own.where("n > 1").select("key")
         for _, level in self.levels:
             met = met.unionByName(own.select("key").join(level.select("key"), "key", "left_semi"))
         met = stash(met.distinct(), "suffix-met")
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
-            both = new.unionByName(old).groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.max("twice").alias("twice"))
+            both = new.unionByName(old).groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
             merged = stash(both.sortWithinPartitions("key", "rest"), "suffix-level")
             drop(old, new)
             new, rank = merged, rank + 1
@@ -123,7 +121,7 @@ class SuffixFamily:
         out = self.levels[0][1]
         for _, level in self.levels[1:]:
             out = out.unionByName(level)
-        return out.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.max("twice").alias("twice"))
+        return out.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
 
 
 def _pieces(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +153,24 @@ def islands(places: list[int]) -> list[dict]:
 _ISLANDS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _together(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a key's entries in one deal held against each other: islands of those that match.
+_HELD = f"key long, rest long, islands array<struct<lo:int,hi:int>>, {Packs.SCHEMA}"
 
-    Where there are other deals, each different window follows with a digest for the deals to be held against each other,
-    and with its place if it hasn't matched yet.
+
+def _together(window: int, lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of a key's entries in one deal held against each other, byte by byte: islands of those that match.
+
+    Where there are other deals, a digest of each different window goes packed to a lane, to be held against theirs.
     """
-    kinds = (pa.int64(), pa.int64(), _ISLANDS, pa.int64(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), _ISLANDS)
+    names = ["key", "rest", "islands", "lane", "m", "data"]
+    packs = Packs(lanes)
+
+    def sent(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.nulls(b.num_rows, t) for t in kinds), *b.columns], names=names)
+
     for b in batches:
         for key, deals, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], []]
             seen: dict[bytes, tuple | None] = {}
             cut = [[e["data"][k : k + window] for k in range(len(e["data"]) - window + 1)] for e in entries]
             for e, windows in zip(entries, cut, strict=True):
@@ -172,13 +178,33 @@ def _together(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     seen[w] = None if w in seen or e["whole"] else (e["rest"], k)
             for e, windows in zip(entries, cut, strict=True):
                 if not e["whole"] and (hit := [k for k, w in enumerate(windows) if seen[w] is None]):
-                    for c, x in zip(cols, (key, e["rest"], islands(hit), None, None), strict=True):
+                    for c, x in zip(cols, (key, e["rest"], islands(hit)), strict=True):
                         c.append(x)
+            if cols[0]:
+                n = len(cols[0])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
             if deals > 1:
-                for w, place in seen.items():
-                    for c, x in zip(cols, (key, place and place[0], None, _digest(w), place and place[1]), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "rest", "islands", "w", "k"])
+                own = entries[0]["rest"]
+                places = [p or (own, _MATCHED) for p in seen.values()]
+                digests = mix64(np.array([xxh3_64_intdigest(w) for w in seen], np.uint64) ^ mix64(np.array([key], np.int64).view(np.uint64)))
+                yield from map(sent, packs.add(digests, np.array([r for r, _ in places], np.int64), np.array([k for _, k in places], np.uint32)))
+    yield sent(packs.send())
+
+
+#: Stands for the place of a window that has matched already.
+_MATCHED = 2**32 - 1
+
+
+def _across(entries: Entries, crowd: bool) -> pa.RecordBatch:
+    """rest and ks: windows of entries that are found in another deal too."""
+    key, rest, k = entries
+    starts, of = groups(key)
+    many = np.diff(starts, append=len(key))[of] > 1
+    some = np.flatnonzero((many | crowd) & (k != np.uint32(_MATCHED)))
+    some = some[np.argsort(rest[some], kind="stable")]
+    firsts, _ = groups(rest[some])
+    ks = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(some)).astype(np.int32)), pa.array(k[some].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(rest[some][firsts]), ks], names=["rest", "ks"])
 
 
 def _cut(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +239,14 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
 
     Every occurrence of a string that starts at two places or more goes, in whatever documents; matches never
     cross documents. The table is dealt to *batches* by a hash of its keys, and each batch is added to a SuffixFamily.
-    Entries equal in (key, rest) are marked whole. Where a key has several rests, or a run may match itself, the windows
+    Entries equal in (key, rest) are marked whole. Where a key has several rests the windows
     of one occurrence of each rest are compared, and what matches holds for all its occurrences. The rests of a key are
     dealt to rows of about TOGETHER bytes; windows are compared within a row first, and by digest across rows.
-    Null texts count as empty; texts under *window* bytes are kept; rows that repeat id and text are two places.
+    Null texts count as empty; texts under *window* bytes are kept; rows that repeat id and text are two places. Very long texts, also such
+    as repeat one byte or a short period, cost time and rows by their length alone.
     """
     rows = keyed(docs)
-    arrays = arrow_map(rows.select("_id", "_th", "text"), lambda it: _suffixes(window, it), "_id long, _th long, key long, a int, z int, twice boolean, rest long")
+    arrays = arrow_map(rows.select("_id", "_th", "text"), lambda it: _suffixes(window, it), "_id long, _th long, key long, a int, z int, rest long")
     arrays = stash(arrays.withColumn("batch", F.pmod(F.xxhash64("_id", "_th"), F.lit(batches)).cast("int")), "suffixes")
     family, met = SuffixFamily(), None
     for k in range(batches):
@@ -228,17 +255,19 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
     met = stash(met.distinct(), "suffix-met")
     entries = stash(family.entries().join(met, "key", "left_semi"), "suffix-entries")
     drop(*(level for _, level in family.levels))
-    several = entries.groupBy("key").agg(F.count("*").alias("rests"), F.sum(F.col("at.z") - F.col("at.a") + window).alias("bytes"))
+    several = entries.groupBy("key").agg(F.count("*").alias("rests"), F.sum(F.col("at.z") - F.col("at.a") + window).alias("bytes")).where("rests > 1")
     deals = F.ceil(F.col("bytes") / TOGETHER).cast("int").alias("deals")
-    contested = entries.join(several, "key").where("rests > 1 or twice").select("key", "rest", "at", (F.col("n") > 1).alias("whole"), deals)
+    contested = entries.join(several, "key").select("key", "rest", "at", (F.col("n") > 1).alias("whole"), deals)
     picks = contested.select("at.*", "key", "rest", "whole", "deals").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "z", "key", "rest", "whole", "deals")).alias("picks"))
     texts = rows.select("_id", "_th", "text").join(picks, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "picks")
     pieces = arrow_map(texts, lambda it: _pieces(window, it), "deals int, key long, rest long, whole boolean, data binary")
     dealt = pieces.groupBy("key", "deals", F.pmod(F.xxhash64("rest"), F.col("deals")).alias("deal")).agg(F.collect_list(F.struct("rest", "whole", "data")).alias("entries"))
     kind = "array<struct<lo:int,hi:int>>"
-    held = stash(arrow_map(dealt.select("key", "deals", "entries"), lambda it: _together(window, it), f"key long, rest long, islands {kind}, w long, k int"), "suffix-held")
-    twice = held.where("w is not null").groupBy("key", "w").agg(F.count("*").alias("m")).where("m > 1").select("key", "w")
-    hit = held.where("k is not null").select("key", "rest", "k", "w").join(twice, ["key", "w"]).groupBy("key", "rest").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    crowded = several.where(F.col("bytes") > TOGETHER).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    lanes = int(crowded) // LANE + 1
+    held = stash(arrow_map(dealt.select("key", "deals", "entries"), lambda it: _together(window, first_lanes(lanes), it), _HELD), "suffix-held")
+    across = meet(held.where("lane is not null").select("lane", "m", "data"), lanes, _across, "rest long, ks array<int>")
+    hit = across.groupBy("rest").agg(F.array_sort(F.flatten(F.collect_list("ks"))).alias("ks")).join(contested.where("deals > 1").select("key", "rest"), "rest")
     # Windows of an entry that match, as islands of places in a row.
     beside = lambda k, i, step: F.coalesce(F.get("ks", i + step) == k + step, F.lit(False))
     starts = F.filter("ks", lambda k, i: ~beside(k, i, -1))

@@ -209,9 +209,31 @@ def test_suffix_dedup_in_deals(spark, monkeypatch):
     test_suffix_dedup(spark)
 
 
+def test_suffix_runs_of_periodic_texts():
+    import time
+
+    for data in (b"=" * 3_000_000, b"ab" * 1_500_000, bytes(range(97, 121)) * 100_000):
+        began = time.perf_counter()
+        key, first, last = S.runs(data)
+        assert last[-1] == len(data) - S.WINDOW and (first[1:] == last[:-1] + 1).all() and (last - first).max() <= S.WINDOW - S.K
+        assert time.perf_counter() - began < 20
+    data = prose(3, 400).encode()
+    windows = {}
+    for v, a, z in zip(*S.runs(data + b" " + data), strict=True):
+        for k in range(a, z + 1):
+            windows.setdefault((data + b" " + data)[k : k + S.WINDOW], set()).add(int(v))
+    assert all(len(v) == 1 for v in windows.values())
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    rows = [(1, "=" * 1_000_000), (2, "ab" * 300_000 + prose(1, 50)), (3, prose(1, 50) + "=" * 150), (4, prose(2, 100))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in S.suffix_dedup(table(spark, rows)).collect()}
+    assert got[1] == (1_000_000, 1) and got[2][0] >= 600_000 and got[4] == (0, 0)
+
+
 def test_suffix_family_levels(spark):
     family = S.SuffixFamily()
-    frame = lambda k: spark.createDataFrame([(k, 1, 5 if k in (0, 3) else 100 + k, 0, 0, False, 9)], "_id long, _th long, key long, a int, z int, twice boolean, rest long")
+    frame = lambda k: spark.createDataFrame([(k, 1, 5 if k in (0, 3) else 100 + k, 0, 0, 9)], "_id long, _th long, key long, a int, z int, rest long")
     met = [sorted(r[0] for r in family.add(frame(k)).collect()) for k in range(5)]
     assert met == [[], [], [], [5], []] and [r for r, _ in family.levels] == [2, 0]
 
