@@ -90,8 +90,8 @@ def _suffixes(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 class SuffixFamily:
     """The index: levels of sorted runs, each twice the batches of the one before, in the shared folder.
 
-    A batch's array holds (key, rest): the run's least hash and a digest of its bytes, how often it
-    occurs, and one place where. It is merge-scanned against each level: entries that meet in key are neighbours in the
+    A batch's table holds (key, rest): the run's least hash and a digest of its bytes, and how often it
+    occurs. It is merge-scanned against each level: entries that meet in key are neighbours in the
     joint order and may hold long matches. Then levels of equal size merge, so b batches leave at most log2(b) + 1.
     """
 
@@ -100,7 +100,7 @@ class SuffixFamily:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index *batch*; returns key of what it shares within itself or with the levels."""
-        new = stash(batch.groupBy("key", "rest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "a", "z")).alias("at")).sortWithinPartitions("key", "rest"), "suffix-level")
+        new = stash(batch.groupBy("key", "rest").agg(F.count("*").alias("n")).sortWithinPartitions("key", "rest"), "suffix-level")
         own = new.groupBy("key").agg(F.sum("n").alias("n"))
         met = own.where("n > 1").select("key")
         for _, level in self.levels:
@@ -109,20 +109,13 @@ class SuffixFamily:
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
-            both = new.unionByName(old).groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+            both = new.unionByName(old).groupBy("key", "rest").agg(F.sum("n").alias("n"))
             merged = stash(both.sortWithinPartitions("key", "rest"), "suffix-level")
             drop(old, new)
             new, rank = merged, rank + 1
         self.levels.append((rank, new))
         return met
 
-    def entries(self) -> DataFrame:
-        """key, rest, n, at, twice of all levels."""
-        out = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            out = out.unionByName(level)
-        return out.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
-
 
 def _pieces(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of contested entries."""
@@ -253,8 +246,11 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
         got = family.add(arrays.where(F.col("batch") == k))
         met = got if met is None else met.unionByName(got)
     met = stash(met.distinct(), "suffix-met")
-    entries = stash(family.entries().join(met, "key", "left_semi"), "suffix-entries")
     drop(*(level for _, level in family.levels))
+    # From here on only runs whose key is found twice are looked at.
+    repeated = stash(arrays.drop("batch").join(met, "key", "left_semi"), "suffix-repeated")
+    drop(arrays)
+    entries = stash(repeated.groupBy("key", "rest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "a", "z")).alias("at")), "suffix-entries")
     several = entries.groupBy("key").agg(F.count("*").alias("rests"), F.sum(F.col("at.z") - F.col("at.a") + window).alias("bytes")).where("rests > 1")
     deals = F.ceil(F.col("bytes") / TOGETHER).cast("int").alias("deals")
     contested = entries.join(several, "key").select("key", "rest", "at", (F.col("n") > 1).alias("whole"), deals)
@@ -275,7 +271,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
     parts = held.where("islands is not null").select("key", "rest", "islands").unionByName(hit.select("key", "rest", F.arrays_zip(starts.alias("lo"), ends.alias("hi")).alias("islands")))
     whole = entries.where("n > 1").select("key", "rest", F.lit(None).cast(kind).alias("islands"))
     flags = stash(whole.unionByName(parts), "suffix-flags")
-    marks = arrays.join(flags, ["key", "rest"]).select("_id", "_th", F.explode(F.when(F.col("islands").isNull(), F.array(F.struct(F.col("a").alias("lo"), F.col("z").alias("hi")))).otherwise(F.transform("islands", lambda x: F.struct((F.col("a") + x["lo"]).alias("lo"), (F.col("a") + x["hi"]).alias("hi"))))).alias("m"))
+    marks = repeated.join(flags, ["key", "rest"]).select("_id", "_th", F.explode(F.when(F.col("islands").isNull(), F.array(F.struct(F.col("a").alias("lo"), F.col("z").alias("hi")))).otherwise(F.transform("islands", lambda x: F.struct((F.col("a") + x["lo"]).alias("lo"), (F.col("a") + x["hi"]).alias("hi"))))).alias("m"))
     marks = stash(marks.groupBy("_id", "_th").agg(F.collect_set("m").alias("marks")), "suffix-marks")
     joined = rows.join(marks, ["_id", "_th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "marks")
     return arrow_map(joined, lambda it: _cut(window, it), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
