@@ -26,7 +26,7 @@ NO_ID = -(2**63)
 
 #: Entries that a task packs together, entries of a lane, parts that a pack is cut into at most, and entries of a key in a pack that
 #: go to its lane at most.
-PACK, LANE, SPREAD, CROWD = 1 << 20, 1 << 20, 1024, 64
+PACK, LANE, SPREAD, CROWD = 1 << 20, 1 << 18, 4096, 64
 
 _scratch: set[str] = set()
 
@@ -294,14 +294,14 @@ def first_lanes(lanes: int) -> int:
 def meet(packs: DataFrame, lanes: int, decide: Callable[[Entries, bool], pa.RecordBatch], schema: str) -> DataFrame:
     """The rows of *schema* that *decide* makes of the entries of each of *lanes*; *packs* were made for first_lanes(lanes).
 
-    A pack is cut into SPREAD parts at most, however many lanes there are: with more lanes there is an exchange more.
+    A task has four lanes or so, as they are dealt by chance. A pack is cut into SPREAD parts at most, however many lanes there are: with more lanes there is an exchange more.
     """
     n, at = packs.sparkSession.sparkContext.defaultParallelism, first_lanes(lanes)
     while at < lanes:
         more = min(lanes, at * SPREAD)
         packs = arrow_map(packs.repartition(at, "lane"), lambda it, more=more: _again(more, it), Packs.SCHEMA)
         at = more
-    return arrow_map(packs.repartition(max(n, at), "lane").sortWithinPartitions("lane"), lambda it: _lanes(decide, it), schema)
+    return arrow_map(packs.repartition(max(n, at // 4), "lane").sortWithinPartitions("lane"), lambda it: _lanes(decide, it), schema)
 
 
 def cut_off(df: DataFrame, count: str, most: int) -> int:
