@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ._base import arrow_map, chunks
 
-#: Labelled rows that the field is fitted on (those of least hash), and lines of them; the only sample here.
-SAMPLE, SAMPLE_LINES = 4000, 200_000
+#: Labelled rows that the field is fitted on (those of least hash), the only sample here.
+SAMPLE = 4000
+#: Lines, padding included, that pass through the field together at most, but for a longer text, which comes alone.
+TOGETHER = 100_000
 #: Rounds of fitting, step and pull towards zero; documents that pass through the field together.
 EPOCHS, STEP, DECAY, GROUP = 40, 0.03, 1e-4, 256
 
@@ -92,7 +94,11 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]
     w, move = np.zeros((WIDTH, 2)), np.zeros((2, 2))
     rng = np.random.default_rng(5)
     order = sorted(range(len(examples)), key=lambda k: len(examples[k][0]))
-    groups = [order[k : k + GROUP] for k in range(0, len(order), GROUP)]
+    groups: list[list[int]] = []
+    for k in order:  # by length, so the last one is the longest
+        if not groups or len(groups[-1]) == GROUP or (len(groups[-1]) + 1) * len(examples[k][0]) > TOGETHER:
+            groups.append([])
+        groups[-1].append(k)
     m = [np.zeros_like(w), np.zeros_like(move)]
     v = [np.zeros_like(w), np.zeros_like(move)]
     step = 0
@@ -126,7 +132,7 @@ def score(texts: list[str], w: np.ndarray, move: np.ndarray) -> np.ndarray:
     at = 0
     while at < len(order):
         longest, n = 0, 0
-        while at + n < len(order) and n < GROUP and (n == 0 or (n + 1) * len(found[order[at + n]][0]) < 100_000):
+        while at + n < len(order) and n < GROUP and (n == 0 or (n + 1) * len(found[order[at + n]][0]) < TOGETHER):
             n += 1
         part = order[at : at + n]
         longest = max(len(found[k][0]) for k in part)
@@ -147,18 +153,12 @@ def _scores(model: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(b.column(2).to_pylist(), *model), pa.float64())], names=["doc_id", "held_out", "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
-    """The field, fitted on at most *sample* labelled rows that aren't held out and about *lines* lines of them."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """The field, fitted on all lines of at most *sample* labelled ids that aren't held out."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("at"))
-    examples, n = [], 0
-    for text, quality, _ in texts.orderBy("at").toLocalIterator():
-        if n > lines:
-            break
-        examples.append((line_features(text)[0], int(quality)))
-        n += len(examples[-1][0])
-    return fit(examples)
+    return fit([(line_features(r[0])[0], int(r[1])) for r in texts.orderBy("at").toLocalIterator()])
 
 
 def held_out(doc_id: F.Column) -> F.Column:
