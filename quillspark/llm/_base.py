@@ -21,6 +21,8 @@ from ..ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that an Arrow batch may have; texts can be long, so far less than Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Bytes from which a batch is sent, whatever its rows; one longer text is a batch of its own.
+BATCH_BYTES = 1 << 24
 #: Stands for a missing doc_id in keys.
 NO_ID = -(2**63)
 
@@ -101,6 +103,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Some thousand long texts in a row would be more than a worker may hold.
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
