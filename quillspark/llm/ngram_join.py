@@ -7,30 +7,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import NO_ID, arrow_map, chunks, components, keyed, stash
+from ._base import NO_ID, arrow_map, chunks, components, drop, keyed, mix64, stash
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Trees of the forest, levels of each, and the recall at SIMILARITY to which prefixes are shortened.
+#: Trees of the forest, labels of a path in each, and the recall of links to which matched prefixes are shortened.
 TREES, DEPTH, RECALL = 40, 8, 0.99999
+#: Steps in which the similarity of links is tallied.
+STEPS = 100
 #: Texts of a block; larger candidate groups are compared block by block.
 BLOCK = 512
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def depth(similarity: float, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix whose trees together find a pair of that similarity with the recall; 1 if none does.
+def chance(similarity: np.ndarray | float, k: int, trees: int) -> np.ndarray:
+    """That two texts of a similarity share a prefix of *k* labels in one of the trees: each label is equal with that chance."""
+    return 1 - (1 - np.asarray(similarity, np.float64) ** k) ** trees
 
-    Descends from the leaves: a prefix of k labels agrees in one tree with chance similarity ** k.
+
+def floor_depth(similarity: float, trees: int, deepest: int, recall: float) -> int:
+    """The longest prefix that gives even links of the least similarity the recall; 1 if none does."""
+    return next((k for k in range(deepest, 1, -1) if chance(similarity, k, trees) >= recall), 1)
+
+
+def shortened(tally: np.ndarray, k: int, least: int, similarity: float, trees: int, recall: float) -> int:
+    """The prefix to go on with after links were found by *k* labels: *k* itself if they are the wanted share of all.
+
+    *tally* has the links by similarity, in steps from *similarity* to 1. A link found stands for 1 / chance of them. One link more of
+    the least similarity is counted, as few links are no evidence; so without any the answer is *least*, where recall holds for all.
     """
-    for k in range(deepest, 1, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
-            return k
-    return 1
+    at = similarity + (1 - similarity) * np.arange(len(tally)) / max(len(tally) - 1, 1)
+    there = tally / chance(at, k, trees)
+    there[0] += 1
+    return next((j for j in range(k, least, -1) if (there * chance(at, j, trees)).sum() >= recall * there.sum()), least)
 
 
 class Shingler:
@@ -56,27 +70,79 @@ class Shingler:
         return np.unique(out)
 
 
-def _signatures(k: int, trees: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(levels: int, trees: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(20_117)
-    a = rng.integers(1, 2**63, (k * trees, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, (k * trees, 1), np.uint64)
+    a = rng.integers(1, 2**63, (levels * trees, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, (levels * trees, 1), np.uint64)
     sets = Shingler(n)
-    powers = _M ** np.arange(1, k + 1, dtype=np.uint64)
+    grid = np.empty((trees, levels + 1), ">u2")
+    grid[:, 0] = np.arange(trees)
     for c in chunks(batches):
-        digests, sizes, bands = [], [], []
+        digests, sizes, paths = [], [], []
         for t in c.column(3).to_pylist():
             s = sets(t)
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
             sizes.append(len(s))
             if len(s):
-                low = np.full((k * trees, 1), 2**64 - 1, np.uint64)
+                low = np.full((levels * trees, 1), 2**64 - 1, np.uint64)
                 for at in range(0, len(s), 1024):
                     low = np.minimum(low, (s[None, at : at + 1024] * a + b).min(1, keepdims=True))
-                low ^= low >> np.uint64(31)
-                bands.append(((low.reshape(trees, k) * powers).sum(1, dtype=np.uint64)).view(np.int64))
+                grid[:, 1:] = (mix64(low) >> np.uint64(48)).reshape(trees, levels)
+                paths.append(grid.tobytes())
             else:
-                bands.append(np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([*c.columns[:3], pa.array(digests), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["_id", "_th", "doc_id", "digest", "n", "bands"])
+                paths.append(b"")
+        yield pa.RecordBatch.from_arrays([*c.columns[:3], pa.array(digests), pa.array(sizes, pa.int32()), pa.array(paths, pa.binary())], names=["_id", "_th", "doc_id", "digest", "n", "paths"])
+
+
+_NEXT = "digest string, other string, depth int, part int, last boolean, path binary"
+
+
+def _neighbours(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths in order, each with the one before and the labels they share, if *least* or more; the first and last path as they are."""
+
+    def send(digest: list, other: list, depth: list, last: list, path: list) -> pa.RecordBatch:
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        cols = [pa.array(digest, pa.string()), pa.array(other, pa.string()), pa.array(depth, pa.int32()), pa.array([part] * len(digest), pa.int32()), pa.array(last, pa.bool_()), pa.array(path, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["digest", "other", "depth", "part", "last", "path"])
+
+    before: tuple[str, bytes] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        digest, path = b.column(0).to_pylist(), b.column(1).to_pylist()
+        if before is None:
+            yield send(digest[:1], [None], [None], [False], path[:1])
+        else:
+            digest.insert(0, before[0])
+            path.insert(0, before[1])
+        labels = np.frombuffer(b"".join(path), np.uint16).reshape(len(path), -1)
+        shared = np.cumprod(labels[1:] == labels[:-1], 1).sum(1) - 1
+        some = np.flatnonzero(shared >= least).tolist()
+        yield send([digest[k + 1] for k in some], [digest[k] for k in some], shared[some].tolist(), [None] * len(some), [None] * len(some))
+        before = digest[-1], path[-1]
+    if before:
+        yield send([before[0]], [None], [None], [True], [before[1]])
+
+
+def forest(texts: DataFrame, trees: int, levels: int, least: int) -> DataFrame:
+    """(digest, other, depth): neighbours in the sorted paths of each tree, and the labels that they share, *least* or more.
+
+    All tries are one table of paths, a tree's number and its labels, sorted over all partitions; a trie's node is a run of paths with a
+    common prefix. Texts below a node of k labels are linked by neighbours that share k. Sorting is by path and text, so
+    no path is too frequent for a partition. What ends one partition and begins the next is two rows of each.
+    """
+    width = 2 * (levels + 1)
+    paths = texts.select("digest", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t"), "paths")
+    paths = paths.select("digest", F.expr(f"substring(paths, t * {width} + 1, {width})").alias("path"))
+    spread = paths.repartitionByRange("path", "digest").sortWithinPartitions("path", "digest")
+    found = stash(arrow_map(spread, lambda it: _neighbours(least, it), _NEXT), "forest")
+    ends = found.where("path is not null").withColumn("seam", F.lit(True))
+    # Two rows of a partition.
+    w = Window.partitionBy("seam").orderBy("part", "last")
+    seams = ends.select("digest", "path", "last", F.lag("digest").over(w).alias("other"), F.lag("path").over(w).alias("before")).where("not last and other is not null")
+    same = F.expr(f"aggregate(sequence(0, {levels}), 0, (n, k) -> if(n = k and substring(path, 1, 2 * k + 2) = substring(before, 1, 2 * k + 2), n + 1, n)) - 1")
+    seams = seams.select("digest", "other", same.alias("depth")).where(F.col("depth") >= least)
+    return found.where("path is null").select("digest", "other", "depth").unionByName(seams)
 
 
 def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +171,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(similarity: float, key: tuple, rows: list[tuple[str, int, np.ndarray]]) -> Iterator[tuple[str, int, str]]:
-    """(digest, links, least linked digest of the block pair's component) of the members of one pair of blocks."""
+def _links(similarity: float, key: tuple, rows: list[tuple[str, int, np.ndarray]]) -> Iterator[tuple[str, int, str, list[int] | None]]:
+    """(digest, links, least linked digest of the block pair's component) of the members of one pair of blocks.
+
+    The first one has the tally of all links by similarity beside it.
+    """
     _, i, j = key
     left = [r for r in rows if r[1] == i]
     right = left if i == j else [r for r in rows if r[1] == j]
@@ -114,11 +183,14 @@ def _links(similarity: float, key: tuple, rows: list[tuple[str, int, np.ndarray]
         return
     shared = overlaps([r[2] for r in left], [r[2] for r in right])
     na, nb = np.array([len(r[2]) for r in left], np.float64), np.array([len(r[2]) for r in right], np.float64)
-    near = shared >= similarity * (na[:, None] + nb[None, :] - shared) - 1e-9
+    union = na[:, None] + nb[None, :] - shared
+    near = shared >= similarity * union - 1e-9
     names = [r[0] for r in left]
     if i == j:
         np.fill_diagonal(near, False)
-    else:
+    step = (shared[near] / union[near] - similarity) / max(1 - similarity, 1e-9) * STEPS
+    tally = np.bincount(np.clip(step, 0, STEPS).astype(np.int64), minlength=STEPS + 1) // (2 if i == j else 1)
+    if i != j:
         names += [r[0] for r in right]
         near = np.block([[np.zeros((len(left), len(left)), bool), near], [near.T, np.zeros((len(right), len(right)), bool)]])
     order = np.argsort(np.array(names))
@@ -130,16 +202,16 @@ def _links(similarity: float, key: tuple, rows: list[tuple[str, int, np.ndarray]
         if (new == root).all():
             break
         root = new
-    for k in np.flatnonzero(near.any(1)):
-        yield names[order[k]], int(near[k].sum()), names[order[root[k]]]
+    for n, k in enumerate(np.flatnonzero(near.any(1))):
+        yield names[order[k]], int(near[k].sum()), names[order[root[k]]], None if n else tally.tolist()
 
 
 def _blocks(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks one after another: the rows are sorted by them, and a pair has about 2 BLOCK texts at most."""
 
     def send(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["digest", "links", "other"])
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.int64()))], names=["digest", "links", "other", "tally"])
 
     key, rows, out = None, [], []
     for b in batches:
@@ -158,16 +230,8 @@ def _blocks(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield send(list(_links(similarity, key, rows)))
 
 
-def _classes(docs: DataFrame, similarity: float, shingle: int, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(each row's digest and number of shingles, each digest's class and counts)."""
-    rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    k = depth(similarity, trees, DEPTH, recall)
-    sig = stash(arrow_map(rows, lambda it: _signatures(k, trees, shingle, it), "_id long, _th long, doc_id long, digest string, n int, bands array<long>"), "forest")
-    texts = stash(sig.where("n > 0").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least")), "forest-texts")
-    reps = sig.select("_id", "_th", "digest", "bands").join(texts.select("rep.*", "digest"), ["_id", "_th", "digest"]).dropDuplicates(["digest"])
-    paths = stash(reps.select("digest", F.posexplode("bands").alias("tree", "path")), "forest-paths")
-    met = paths.groupBy("tree", "path").agg(F.min("digest").alias("low"), F.count("*").alias("m")).where("m > 1").select("tree", "path", "low")
-    edges = paths.join(met, ["tree", "path"]).where("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
+def _verified(rows: DataFrame, texts: DataFrame, edges: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links of the texts that *edges* (a, b) hold together: all sets of such a group are compared exactly, in blocks once it is larger than one."""
     cand = stash(components(edges, "candidates"), "candidates")
     size = cand.groupBy("label").agg(F.count("*").alias("m"))
     members = cand.join(size, "label").select(F.col("node").alias("digest"), "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
@@ -178,10 +242,32 @@ def _classes(docs: DataFrame, similarity: float, shingle: int, trees: int, recal
     sets = stash(sets, "shingles")
     placed = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "digest", "block", "shingles")
     spread = placed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    links = stash(arrow_map(spread, lambda it: _blocks(similarity, it), "digest string, links long, other string"), "links")
+    links = stash(arrow_map(spread, lambda it: _blocks(similarity, it), "digest string, links long, other string, tally array<long>"), "links")
+    drop(cand, sets)
+    return links
+
+
+def _classes(docs: DataFrame, similarity: float, shingle: int, trees: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(each row's digest and number of shingles, each digest's class and counts)."""
+    rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sig = stash(arrow_map(rows, lambda it: _signatures(DEPTH, trees, shingle, it), "_id long, _th long, doc_id long, digest string, n int, paths binary"), "signatures")
+    texts = stash(sig.where("n > 0").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.any_value("paths").alias("paths")), "texts")
+    least = floor_depth(similarity, trees, DEPTH, recall)
+    near = forest(texts, trees, DEPTH, least)
+    k = DEPTH
+    while True:
+        links = _verified(rows, texts, near.where(F.col("depth") >= k).select(F.col("digest").alias("a"), F.col("other").alias("b")), similarity, shingle)
+        tally = np.zeros(STEPS + 1)
+        for r in links.where("tally is not null").select(F.posexplode("tally").alias("step", "n")).groupBy("step").agg(F.sum("n")).collect():  # STEPS + 1 rows at most
+            tally[r[0]] = r[1]
+        then = shortened(tally, k, least, similarity, trees, recall)
+        if then == k:
+            break
+        drop(links)
+        k = then
     classes = components(links.select(F.col("digest").alias("a"), F.col("other").alias("b")), "classes").withColumnRenamed("node", "digest")
     counts = links.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    per = texts.join(classes, "digest", "left").join(counts, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    per = texts.drop("paths").join(classes, "digest", "left").join(counts, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     named = per.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep").alias("first"))
     return sig, stash(per.join(named, "label").select("digest", "class_id", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies"), "classes")
 
@@ -194,9 +280,10 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = S
     one text with copies. A text of fewer words has one shingle of them all; one without words is linked to
     nothing, and null texts are such. Null ids sort first; repeated rows are copies; a table without rows gives none.
 
-    Each text has a key in every band, made of as many labels as the wanted recall allows by formula, and texts
-    that share one are joined to the least of them. What hangs together so holds
-    every pair the bands find; in it all sets are compared exactly, in blocks once it is larger than one.
+    Each text has a path of MinHash labels in every tree, and the tries of paths are sorted. Texts that share a whole path are candidates
+    first. The links that are found by exact sets tell, by their similarity, how many links are not found yet; while that
+    is more than the recall allows, the prefixes that make candidates are shortened, at most to where links of the least similarity have that recall.
+    What hangs together by shared prefixes is compared exactly, in blocks once it is larger than one.
     """
     sig, per = _classes(docs, similarity, shingle, trees, recall)
     out = sig.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(per.drop("first"), "digest", "left")

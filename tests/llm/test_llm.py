@@ -376,6 +376,54 @@ def test_ngram_join(spark, monkeypatch, block):
     assert left.columns == table(spark, []).columns and {r["doc_id"] for r in left.collect() if r["doc_id"] and r["doc_id"] >= 50} == {50, 82, 83, 85}
 
 
+def test_forest_shortens_by_what_it_found():
+    least = N.floor_depth(0.8, 40, 8, 0.99999)
+    assert N.chance(0.8, least, 40) >= 0.99999 > N.chance(0.8, least + 1, 40)
+    tally = [0.0] * 101
+    assert N.shortened(N.np.array(tally), 8, least, 0.8, 40, 0.99999) == least  # nothing found tells nothing
+    assert N.shortened(N.np.array([*tally[:90], 1e6, *tally[91:]]), 8, least, 0.8, 40, 0.99999) == 8  # far above the least similarity
+    assert N.shortened(N.np.array([1e6, *tally[1:]]), 8, least, 0.8, 40, 0.99999) == least  # all at the least
+
+
+def test_forest_by_brute_force(spark, monkeypatch):
+    """Links of the sorted paths make the same groups as equal prefixes do, over many small partitions, a frequent path among them."""
+    rng = N.np.random.default_rng(5)
+    trees, levels = 3, 4
+    grids = {f"d{n:03d}": (rng.integers(0, 3, (trees, levels)) if n % 3 else N.np.ones((trees, levels), int)) for n in range(150)}
+    rows = [(d, bytearray(N.np.concatenate([N.np.arange(trees)[:, None], g], 1).astype(">u2").tobytes())) for d, g in grids.items()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the partitions become one
+    try:
+        got = rows_of(N.forest(spark.createDataFrame(rows, "digest string, paths binary"), trees, levels, 2))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for k in (2, 3, 4):
+        nodes: dict = {}
+        for d, g in grids.items():
+            for t in range(trees):
+                nodes.setdefault((t, *g[t, :k]), []).append(d)
+        # Neighbours in a node of m texts are m - 1 links, each of texts of that node.
+        assert sum(x[2] >= k for x in got) == sum(len(v) - 1 for v in nodes.values())
+        together = {frozenset((a, b)) for v in nodes.values() for a in v for b in v}
+        assert all(frozenset(x[:2]) in together for x in got if x[2] >= k)
+
+
+def test_recall_of_the_forest(spark):
+    """All links of documents of sf0.01 that brute force finds, from each text's set of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets = list({frozenset(s.tolist()) for s in map(N.Shingler(), ((t or "") for _, t in rows)) if len(s)})
+    having: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            having.setdefault(x, []).append(k)
+    common = Counter((a, b) for v in having.values() for i, a in enumerate(v) for b in v[i + 1 :])
+    links = sum(n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for (a, b), n in common.items())
+    out = N.ngram_join(docs).where("n_copies > 0").collect()
+    found = sum(r["n_links"] / r["n_copies"] for r in out) / 2
+    print("links", links, "found", found)
+    assert links and abs(found - links) < 1e-6
+
+
 @pytest.mark.parametrize("pack, lane, spread, crowd", [(1 << 20, 1 << 20, 1024, 64), (5_000, 4_000, 2, 3)])
 def test_line_dedup_in_packs(spark, monkeypatch, pack, lane, spread, crowd):
     """Keys of very many lines, more lanes than one exchange tells apart, and small packs change nothing."""
