@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -684,3 +685,34 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("doc_id = 7").first()["text"] == prose(8, 80)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == steps[-1] and sum(r["taken"] for r in out) > 0
+
+
+def test_lm_lane_of_a_context_that_all_blocks_have(monkeypatch):
+    """Such a lane gets a pack from every block; its memory is of the distinct pairs and not of all packs."""
+    tree = M.Tree(list(range(1, 20_001)))
+    names = ["bid", "lane", "n", "pairs"]
+    kinds = (M.np.uint64, M.np.int32, M.np.int32, M.np.int32, M.np.uint8)
+
+    def packs(blocks, pairs):
+        for bid in range(blocks):
+            rng = M.np.random.default_rng(bid % 7)
+            y = M.np.sort(rng.choice(20_000, pairs, replace=False))
+            c = M.np.where(y < 50, 5, 9)
+            cols = [v.astype(k) for v, k in zip((c, y, y % 3, y % 2, 1 + y % 2), kinds, strict=True)]
+            by = M.np.lexsort((cols[1], cols[0]))
+            yield M.pa.RecordBatch.from_arrays([M.pa.array([bid]), M.pa.array([3], M.pa.int32()), M.pa.array([pairs], M.pa.int32()), M.pa.array([M.shut(*(v[by] for v in cols))], M.pa.binary())], names=names)
+
+    whole = [b.to_pylist() for b in M._answer(tree, packs(30, 900))]
+    for name, few in (("GATHER", 1000), ("HOLD", 100), ("PAIRS", 200)):
+        monkeypatch.setattr(M, name, few)
+        assert [b.to_pylist() for b in M._answer(tree, packs(30, 900))] == whole
+    monkeypatch.undo()
+    monkeypatch.setattr(M, "GATHER", 50_000)
+    monkeypatch.setattr(M, "PAIRS", 5_000)
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in M._answer(tree, packs(400, 10_000))) == 400
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30_000_000
