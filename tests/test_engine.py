@@ -244,3 +244,16 @@ def test_publish_changes_every_row(spark, tmp_path):
     assert got == {k: ("upsert" if k % 3 else "delete", k % 2 == 0) for k in range(24)}
     docs.withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(int(r[0]) for r in QUERIES["s7_publish"](spark, str(tmp_path)).collect()) == [k for k in range(24) if k % 2 == 0 and k % 3]
+
+
+def test_queries_match_all_words_of_a_stem(spark, tmp_path):
+    """The SQL names the forms that small tables have; larger ones have others, and the queries find those as well."""
+    from quillspark.queries import QUERIES
+
+    texts = ["thndly", "thndlying days", "ofonrereing", "thndl", "ofonrereer thndlyed", None]
+    spark.createDataFrame([(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda name: {r["id"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert ids("m1_any") == ids("b2_or") == ids("h1_trace") == {"0", "1", "2", "4"}
+    assert ids("b3_not") == {"3", "5"}
+    assert ids("b1_and") == {"4"}
+    assert ids("b5_optional") == {"2", "4"}
