@@ -22,8 +22,9 @@ LEAST_WORDS, LEAST_CHARS, EACH = 8, 8, 20
 #: Longer lines may differ by k >= 2 edits. Then they share a run of RUN tokens, as k edits leave n - k of them in
 #: k + 1 runs, and n >= EACH * k. Of each window of RUN - GRAM + 1 grams the one with the least hash is a key.
 RUN, GRAMS = 13, {"w": 6, "c": 12}
-#: Lines of a key that are all held against each other; those of larger groups meet the earliest, and each other by keys of more grams.
-SMALL = 16
+#: Lines of a key that are all held against each other as pairs of rows. Those of larger groups meet the earliest; what that leaves open is held
+#: against all lines of the group, BLOCK lines by BLOCK lines, by bags of tokens of BINS counts first.
+SMALL, BLOCK, BINS = 16, 2048, 32
 #: A line is hot if more than one occurrence in so many is of it, so there are fewer hot lines than that.
 HOT = 1000
 #: Which variants a line needs: itself (for lines of one word more), without a word at its place (for lines of as
@@ -35,7 +36,8 @@ _SALT = {"w": np.uint64(0x51ED270B91A3C7F5), "c": np.uint64(0x2545F4914F6CDD1D)}
 class View:
     """Some lines as rows of tokens, words ('w') or characters ('c'), in one sequence of hashes; all keys come from its running sums."""
 
-    def __init__(self, kind: str, roll: Rolling, start: np.ndarray, sizes: np.ndarray):
+    def __init__(self, kind: str, ids: np.ndarray, roll: Rolling, start: np.ndarray, sizes: np.ndarray):
+        self.ids = ids
         self.kind, self.roll, self.start, self.n, self.end = kind, roll, start, sizes, start + sizes
 
     def _key(self, value: np.ndarray, size: np.ndarray, side: int) -> np.ndarray:
@@ -71,6 +73,12 @@ class View:
 
     def run_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) in the order of the text: lines within two or more edits share a key; none for lines too short for that."""
+        line, key = self.windows()
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.zeros(0, bool)
+        return line[new], key[new]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of each run of RUN tokens of those lines."""
         q = GRAMS[self.kind]
         w = RUN - q + 1
         h = mix64(self.roll(q) ^ _SALT[self.kind])
@@ -86,9 +94,15 @@ class View:
         count = self.n[long] - RUN + 1
         line = np.repeat(long, count)
         at = np.repeat(self.start[long] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        key = low[at]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]) if len(key) else np.zeros(0, bool)
-        return line[new], key[new]
+        return line, low[at]
+
+    def bags(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, counts of its tokens in BINS bins, 255 at most) of those lines: an edit changes two counts by one at most."""
+        long = np.flatnonzero(self.n >= 2 * EACH - 2)
+        out = np.zeros((len(long), BINS), np.uint8)
+        for k, (a, b) in enumerate(zip(self.start[long].tolist(), self.end[long].tolist(), strict=True)):
+            out[k] = np.minimum(np.bincount((mix64(self.ids[a:b]) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255)
+        return long, out
 
 
 class Lines:
@@ -106,7 +120,7 @@ class Lines:
         self.text = np.searchsorted(offsets, begin[self.start], "right") - 1
         self.no = number - np.searchsorted(breaks, offsets)[self.text]
         self.begin, self.end = begin[self.start], end[self.start + self.n - 1] if len(line) else begin
-        self.roll = Rolling(ids)
+        self.ids, self.roll = ids, Rolling(ids)
         self.other = Rolling(mix64(ids ^ _SALT["c"]))
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +137,13 @@ class Lines:
         out = []
         wordy = np.flatnonzero(self.n >= LEAST_WORDS - 1)
         if len(wordy):
-            out.append((View("w", self.roll, self.start[wordy], self.n[wordy]), wordy))
+            out.append((View("w", self.ids, self.roll, self.start[wordy], self.n[wordy]), wordy))
         short = [(k, self.words(k).decode()) for k in np.flatnonzero((self.n < LEAST_WORDS) & (self.end - self.begin >= LEAST_CHARS)).tolist()]
         short = [(k, x) for k, x in short if len(x) >= LEAST_CHARS]
         if short:
             chars = np.frombuffer("".join(x for _, x in short).encode("utf-32-le"), np.uint32).astype(np.uint64)
             n = np.array([len(x) for _, x in short], np.int64)
-            out.append((View("c", Rolling(mix64(chars ^ _SALT["c"])), np.cumsum(n) - n, n), np.array([k for k, _ in short])))
+            out.append((View("c", chars, Rolling(mix64(chars ^ _SALT["c"])), np.cumsum(n) - n, n), np.array([k for k, _ in short])))
         return out
 
 
@@ -295,9 +309,8 @@ def _one_edit(met: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.join(best, "k").select("lid", "first", other.alias("o")).where("o.first < first").select("lid", F.col("o.lid").alias("o"))
 
 
-def _more_edits(met: DataFrame, firsts: DataFrame) -> DataFrame:
+def _more_edits(rows: DataFrame) -> DataFrame:
     """Pairs (lid, o) of lines that share a key of runs: each with the earliest of the key, and in small groups with all earlier ones."""
-    rows = stash(met.select("k", "lid", "n").distinct().join(firsts.select("lid", "first"), "lid"), "line-runs")
     group = rows.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("first", "lid", "n")).alias("o"))
     fits = f"abs(n - m) <= greatest(n, m) div {EACH}"
     earliest = rows.join(group.select("k", "o"), "k").select("lid", "n", "first", F.col("o.first").alias("of"), F.col("o.lid").alias("o"), F.col("o.n").alias("m"))
@@ -306,29 +319,99 @@ def _more_edits(met: DataFrame, firsts: DataFrame) -> DataFrame:
     return earliest.unionByName(every).where(f"of < first and {fits}").select("lid", "o")
 
 
-def _longer_runs(lines: DataFrame, grams: tuple[int, ...]) -> DataFrame:
-    """k, lid, n: keys of so many run keys in a row of the lines (lid, line)."""
-    kind = "k long, lid long, n int"
+def touched(starts: np.ndarray) -> int:
+    """The least edits that touch all runs of RUN tokens that begin at *starts*, in order."""
+    n = at = 0
+    while at < len(starts):
+        at = int(np.searchsorted(starts, starts[at] + RUN))
+        n += 1
+    return n
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "line"):
-            lid, lines = b.column(0).to_numpy(), Lines(b.column(1).to_pylist())
-            for v, at in lines.views():
-                line, key = v.run_keys()
-                for n in grams:
-                    many = Rolling(key)(n)
-                    whole = line[: len(many)] == line[n - 1 :] if len(many) else np.zeros(0, bool)
-                    of = line[: len(many)][whole]
-                    yield pa.RecordBatch.from_arrays([pa.array(mix64(many[whole] + np.uint64(n)).view(np.int64)), pa.array(lid[at[of]]), pa.array(v.n[of].astype(np.int32))], names=["k", "lid", "n"])
+def open_keys(windows: np.ndarray, large: dict[int, int]) -> list[int]:
+    """The keys of *large* (with the lines of each) by which a line must meet all of their lines, the rarest ones; often none.
 
-    return arrow_map(lines.select("lid", "line"), keys, kind)
+    *windows* are the keys of the line's runs in order. A line near it has all runs that no edit touches. So if the allowed edits can't touch
+    all runs of some keys, lines near it have one of these keys; keys of small groups, where all lines meet, come first.
+    """
+    by = sorted(large, key=lambda k: (large[k], k))
+    level = {k: i + 1 for i, k in enumerate(by)}
+    at = np.array([level.get(k, 0) for k in windows.tolist()])
+    # The other line may be the longer one, by as much as its own length allows.
+    edits = max(1, (len(windows) + RUN - 1) // (EACH - 1))
+    low, high = 0, len(by)
+    while low < high:
+        mid = (low + high) // 2
+        if touched(np.flatnonzero(at <= mid)) > edits:
+            high = mid
+        else:
+            low = mid + 1
+    return by[:low]
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys by which lines (lid, line, large) are open."""
+    for b in chunks(batches, "line"):
+        lid, large, lines = b.column(0).to_pylist(), b.column(2).to_pylist(), Lines(b.column(1).to_pylist())
+        out: list[tuple[int, int]] = []
+        for v, at in lines.views():
+            line, key = v.windows()
+            cuts = np.flatnonzero(np.diff(line, prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(line)], strict=True):
+                row = int(lines.text[at[line[i]]])
+                out += [(lid[row], k) for k in open_keys(key[i:j].view(np.int64), {x["k"]: x["c"] for x in large[row]})]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["lid", "k"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "line"):
+        lines = Lines(b.column(1).to_pylist())
+        for v, at in lines.views():
+            line, bags = v.bags()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lines.text[at[line]])), pa.array([x.tobytes() for x in bags], pa.binary())], names=["lid", "bag"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (lid, o) of one block's open lines and another block's earlier lines that lengths and bags allow to be near."""
+    for b in batches:
+        for k in range(b.num_rows):
+            sides = [dict(zip((f.name for f in c.type.value_type), c[k].values.flatten(), strict=True)) for c in b.columns]
+            lid, n, *place = ([s[x].to_numpy() for s in sides] for x in ("lid", "n", "_id", "_th", "no"))
+            bag = [np.frombuffer(b"".join(s["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for s in sides]
+            rank = np.empty(len(lid[0]) + len(lid[1]), np.int64)
+            rank[np.lexsort([np.concatenate(x) for x in reversed(place)])] = np.arange(len(rank))
+            mine, others = rank[: len(lid[0])], rank[len(lid[0]) :]
+            for i in range(len(lid[0])):
+                edits = np.maximum(n[0][i], n[1]) // EACH
+                may = np.flatnonzero((others < mine[i]) & (np.abs(n[1] - n[0][i]) <= edits) & (lid[1] != lid[0][i]))
+                o = lid[1][may[np.abs(bag[1][may] - bag[0][i]).sum(1) <= 2 * edits[may]]]
+                if len(o):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), lid[0][i])), pa.array(o)], names=["lid", "o"])
+
+
+def _rest(rows: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame | None:
+    """Pairs (lid, o) of what large groups leave open: each line that isn't near the earliest, and whose keys of small groups don't
+    settle it, with all earlier lines of some of its keys; None if there are none."""
+    large = rows.join(rows.groupBy("k").agg(F.count("*").alias("c")).where(f"c > {SMALL}"), "k")
+    left = large.join(found, "lid", "left_anti").groupBy("lid").agg(F.collect_list(F.struct("k", "c")).alias("large"))
+    asks = stash(arrow_map(lines.join(left, "lid").select("lid", "line", "large"), _open, "lid long, k long"), "line-open")
+    if asks.isEmpty():
+        return None
+    having = large.join(asks.select("k").distinct(), "k", "left_semi").join(asks.withColumn("asks", F.lit(True)), ["lid", "k"], "left")
+    bags = arrow_map(lines.join(having.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), _bags, "lid long, bag binary")
+    n = F.ceil(F.col("c") / BLOCK)
+    one = F.struct("lid", "n", "first._id", "first._th", "first.no", "bag")
+    blocks = having.join(bags, "lid").groupBy("k", F.pmod(F.xxhash64("lid"), n).alias("i"), n.alias("of")).agg(F.collect_list(F.when(F.col("asks"), one)).alias("open"), F.collect_list(one).alias("all"))
+    blocks = stash(blocks, "line-blocks")
+    asking = blocks.where("size(open) > 0").select("k", "open", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("i"))
+    return arrow_map(asking.join(blocks.select("k", "i", "all"), ["k", "i"]).select("open", "all"), _close, "lid long, o long")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """lid of the distinct lines that have an earlier line near them. *firsts* has lid and first (place) of each.
 
     Lines that share a half with another go on to the deletion neighbourhood of one edit; lines that share a run are
-    held against the earliest that has it. The edit distance of all pairs is verified on the texts. Keys go packed to lanes, and only those
+    held against the earliest that has it, and against all others that have it unless rarer runs settle it. The edit distance of all pairs is verified on the texts. Keys go packed to lanes, and only those
     that lines share come back as rows.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -348,14 +431,11 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         both = new.join(line.select(F.col("lid").alias("o"), F.col("line").alias("old")), "o").select("lid", "line", "old")
         return stash(arrow_map(both, _verify, "lid long").distinct(), "line-near")
 
-    runs = met.where(f"kinds = {FAR}")
-    found = verified(_one_edit(variants, firsts).unionByName(_more_edits(runs, firsts)), lines)
-    # Lines of large groups that aren't near the earliest: by runs of more grams, whose groups are smaller.
-    large = runs.groupBy("k").agg(F.count("*").alias("c")).where(f"c > {SMALL}").select("k")
-    left = stash(runs.join(large, "k").select("lid").distinct().join(found, "lid", "left_anti"), "line-left")
-    if not left.isEmpty():
-        rest = stash(lines.join(left, "lid", "left_semi"), "line-rest")
-        found = found.unionByName(verified(_more_edits(_longer_runs(rest, (2, 4, 8)), firsts), rest))
+    runs = stash(met.where(f"kinds = {FAR}").select("k", "lid", "n").distinct().join(firsts.select("lid", "first"), "lid"), "line-runs")
+    found = verified(_one_edit(variants, firsts).unionByName(_more_edits(runs)), lines)
+    rest = _rest(runs, found, lines)
+    if rest is not None:
+        found = found.unionByName(verified(rest, lines))
     out = stash(found.distinct(), "line-all-near")
     drop(made, met)
     return out

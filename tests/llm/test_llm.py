@@ -716,3 +716,35 @@ def test_lm_lane_of_a_context_that_all_blocks_have(monkeypatch):
     finally:
         tracemalloc.stop()
     assert peak < 30_000_000
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_line_dedup_of_large_groups(spark, monkeypatch, block):
+    """Lines that share all their runs with very many lines, and aren't near the earliest, are near some other line."""
+    import random
+
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng, common = random.Random(3), prose(51, 60).split()
+    far = [f"{' '.join(common)} {prose(900 + k, 9)}" for k in range(30)]
+    rows = list(enumerate(far))
+    for k in range(24):
+        # Three words of a tail changed in a line of 69: three edits, all among its own words.
+        w = far[k].split()
+        for at in rng.sample(range(60, 69), 3):
+            w[at] = f"n{k}x{at}"
+        rows.append((100 + k, " ".join(w)))
+    lines = [(i, t.encode()) for i, t in rows]
+    want = {j for n, (_, x) in enumerate(lines) for j, y in lines[n + 1 :] if L.near(x, y)}
+    got = {r["doc_id"] for r in L.line_dedup(table(spark, rows)).collect() if r["n_removed"]}
+    assert len(want) >= 24 and got == want
+
+
+def test_open_keys():
+    """Rare keys settle a line if its edits can't touch all of their runs; else large groups are asked, the smallest first."""
+    windows = L.np.arange(60) // 5
+    assert L.touched(L.np.arange(60)) == 5 and L.touched(L.np.array([0, 12, 13, 40])) == 3
+    assert L.open_keys(windows, {}) == [] and L.open_keys(windows, {0: 90, 1: 80}) == []
+    large = {k: 100 - k for k in range(12)}
+    some = L.open_keys(windows, large)
+    assert some == sorted(large, reverse=True)[: len(some)] and 0 < len(some) < 12
+    assert L.touched(L.np.flatnonzero(L.np.isin(windows, some))) > 3 >= L.touched(L.np.flatnonzero(L.np.isin(windows, some[:-1])))
