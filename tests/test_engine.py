@@ -257,3 +257,20 @@ def test_queries_match_all_words_of_a_stem(spark, tmp_path):
     assert ids("b3_not") == {"3", "5"}
     assert ids("b1_and") == {"4"}
     assert ids("b5_optional") == {"2", "4"}
+
+
+@pytest.mark.parametrize("stop_words", [True, False])
+def test_index_takes_the_words_of_the_analysis(stop_words):
+    """The index gathers positions without tokens; they are those of the one analysis."""
+    from quillspark.functions.analysis import both, gather
+
+    rules = {"lamp": ("light", "torch")}
+    for text in ("Salt and the lamps", "the gardener’s ﬁne Ｇａrden", "dog's S 's x's s Groß lamp", "a" * 50 + " b" + "é" * 30, "", "don'ś é's", "x" * 39 + " " + "x" * 40):
+        shown, stems, last = both(text, stop_words, rules)
+        got: tuple[dict, dict] = ({"lamp": [1]}, {})
+        assert gather(text, stop_words, rules, 7, *got) == (len(stems), len(shown), last)
+        for have, tokens in zip(got, (stems, shown), strict=True):
+            want = {"lamp": [1]} if have is got[0] else {}
+            for t in tokens:
+                want.setdefault(t.term, []).append(7 + t.position)
+            assert have == want
