@@ -97,25 +97,28 @@ class SuffixFamily:
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
+        self.old: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Index *batch*; returns key of what it shares within itself or with the levels."""
+        """Index *batch*; returns key of what it shares within itself or with the levels, for as long as close() isn't called."""
         new = stash(batch.groupBy("key", "rest").agg(F.count("*").alias("n")).sortWithinPartitions("key", "rest"), "suffix-level")
         own = new.groupBy("key").agg(F.sum("n").alias("n"))
         met = own.where("n > 1").select("key")
         for _, level in self.levels:
             met = met.unionByName(own.select("key").join(level.select("key"), "key", "left_semi"))
-        met = stash(met.distinct(), "suffix-met")
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old = self.levels.pop()
             both = new.unionByName(old).groupBy("key", "rest").agg(F.sum("n").alias("n"))
             merged = stash(both.sortWithinPartitions("key", "rest"), "suffix-level")
-            drop(old, new)
+            self.old += [old, new]
             new, rank = merged, rank + 1
         self.levels.append((rank, new))
         return met
 
+    def close(self) -> None:
+        drop(*self.old, *(level for _, level in self.levels))
+
 
 def _pieces(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of contested entries."""
@@ -246,7 +249,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
         got = family.add(arrays.where(F.col("batch") == k))
         met = got if met is None else met.unionByName(got)
     met = stash(met.distinct(), "suffix-met")
-    drop(*(level for _, level in family.levels))
+    family.close()
     # From here on only runs whose key is found twice are looked at.
     repeated = stash(arrays.drop("batch").join(met, "key", "left_semi"), "suffix-repeated")
     drop(arrays)
@@ -270,7 +273,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES)
     ends = F.filter("ks", lambda k, i: ~beside(k, i, 1))
     parts = held.where("islands is not null").select("key", "rest", "islands").unionByName(hit.select("key", "rest", F.arrays_zip(starts.alias("lo"), ends.alias("hi")).alias("islands")))
     whole = entries.where("n > 1").select("key", "rest", F.lit(None).cast(kind).alias("islands"))
-    flags = stash(whole.unionByName(parts), "suffix-flags")
+    flags = whole.unionByName(parts)
     marks = repeated.join(flags, ["key", "rest"]).select("_id", "_th", F.explode(F.when(F.col("islands").isNull(), F.array(F.struct(F.col("a").alias("lo"), F.col("z").alias("hi")))).otherwise(F.transform("islands", lambda x: F.struct((F.col("a") + x["lo"]).alias("lo"), (F.col("a") + x["hi"]).alias("hi"))))).alias("m"))
     marks = stash(marks.groupBy("_id", "_th").agg(F.collect_set("m").alias("marks")), "suffix-marks")
     joined = rows.join(marks, ["_id", "_th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "marks")

@@ -6,6 +6,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import pytest
 
@@ -748,3 +749,24 @@ def test_open_keys():
     some = L.open_keys(windows, large)
     assert some == sorted(large, reverse=True)[: len(some)] and 0 < len(some) < 12
     assert L.touched(L.np.flatnonzero(L.np.isin(windows, some))) > 3 >= L.touched(L.np.flatnonzero(L.np.isin(windows, some[:-1])))
+
+
+def test_scratch_tables_have_few_files(spark, monkeypatch):
+    """Each file, and each checksum file, is a process forked from an executor on a local file system."""
+    made = []
+
+    def counted(df, name):
+        made.append(B.stash(df, name))
+        return made[-1]
+
+    monkeypatch.setattr(S, "stash", counted)
+    text = prose(5, 300)
+    docs = table(spark, [(1, text), (2, "x " + text), (3, prose(6, 300))])
+    got = {r["doc_id"]: r["n_removed"] for r in S.suffix_dedup(docs).collect()}
+    assert got == {1: len(text), 2: len(text), 3: 0}
+    assert len(made) <= 4 + 3 + 6
+    left = B.stash(spark.range(100), "few")
+    files = [p.name for p in Path(left._quill_path.removeprefix("file:")).iterdir()]
+    assert any(x.endswith(".parquet") for x in files) and not [x for x in files if x.endswith(".crc")]
+    assert left.count() == 100
+    B.drop(left)
