@@ -112,14 +112,15 @@ class Lines:
         self.data = b"\n".join(texts)
         begin, end, ids = words_of(self.data)
         breaks = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
-        line = np.searchsorted(breaks, begin)
-        self.start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-        self.n = np.diff(self.start, append=len(line))
-        number = line[self.start]
+        # Lines are fewer than words: where each line's words begin, and how many there are.
+        first = np.concatenate([[0], np.searchsorted(begin, breaks)])
+        number = np.flatnonzero(np.diff(first, append=len(begin)))
+        self.start = first[number]
+        self.n = np.diff(self.start, append=len(begin))
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
         self.text = np.searchsorted(offsets, begin[self.start], "right") - 1
         self.no = number - np.searchsorted(breaks, offsets)[self.text]
-        self.begin, self.end = begin[self.start], end[self.start + self.n - 1] if len(line) else begin
+        self.begin, self.end = begin[self.start], end[self.start + self.n - 1] if len(begin) else begin
         self.ids, self.roll = ids, Rolling(ids)
         self.other = Rolling(mix64(ids ^ _SALT["c"]))
 

@@ -770,3 +770,30 @@ def test_scratch_tables_have_few_files(spark, monkeypatch):
     assert any(x.endswith(".parquet") for x in files) and not [x for x in files if x.endswith(".crc")]
     assert left.count() == 100
     B.drop(left)
+
+
+def test_words_are_hashed_in_small_segments():
+    text = ("x" * 60_000 + " y\n") * 20
+    B.words_of(b"a b")
+    tracemalloc.start()
+    start, end, ids = B.words_of(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert [text[a:z] for a, z in zip(start, end, strict=True)] == text.split() and len(set(ids.tolist())) == 2
+
+
+def test_lines_by_splitting():
+    texts = ["", "\n\n", " a\n\n b c\n", "d", "\ta \x0bb\n" * 3 + "\n c"]
+    lines = L.Lines([t.encode() for t in texts])
+    expected = [(k, n, x.split()) for k, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.split()]
+    assert [(int(t), int(n), lines.words(k).decode().split()) for k, (t, n) in enumerate(zip(lines.text, lines.no, strict=True))] == expected
+    assert lines.n.tolist() == [len(w) for *_, w in expected]
+
+
+def test_entries_are_ordered():
+    r = B.np.random.default_rng(3)
+    parts = [(r.integers(0, 40, 300).astype(B.np.uint64), r.integers(-5, 5, 300), r.integers(0, 3, 300).astype(B.np.uint32)) for _ in range(3)]
+    got = list(zip(*(c.tolist() for c in B.ordered(parts)), strict=True))
+    assert got == sorted({x for p in parts for x in zip(*(c.tolist() for c in p), strict=True)})
+    assert [len(c) for c in B.ordered([tuple(c[:0] for c in parts[0])])] == [0, 0, 0]
