@@ -23,8 +23,8 @@ LEAST_WORDS, LEAST_CHARS, EACH = 8, 8, 20
 #: k + 1 runs, and n >= EACH * k. Of each window of RUN - GRAM + 1 grams the one with the least hash is a key.
 RUN, GRAMS = 13, {"w": 6, "c": 12}
 #: Lines of a key that are all held against each other as pairs of rows. Those of larger groups meet the earliest; what that leaves open is held
-#: against all lines of the group, BLOCK lines by BLOCK lines, by bags of tokens of BINS counts first.
-SMALL, BLOCK, BINS = 16, 2048, 32
+#: against all lines of the group, BLOCK lines or so, and BLOCK_BYTES, by as many, by bags of tokens of BINS counts first, then by their texts.
+SMALL, BLOCK, BLOCK_BYTES, BINS = 16, 2048, 1 << 22, 32
 #: A line is hot if more than one occurrence in so many is of it, so there are fewer hot lines than that.
 HOT = 1000
 #: Which variants a line needs: itself (for lines of one word more), without a word at its place (for lines of as
@@ -369,50 +369,62 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(b.column(1).to_pylist())
         for v, at in lines.views():
             line, bags = v.bags()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lines.text[at[line]])), pa.array([x.tobytes() for x in bags], pa.binary())], names=["lid", "bag"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(lines.text[at[line]])) for c in b.columns), pa.array([x.tobytes() for x in bags], pa.binary())], names=["lid", "line", "bag"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (lid, o) of one block's open lines and another block's earlier lines that lengths and bags allow to be near."""
+    """The lid of each of one block's open lines that is near an earlier line of another block.
+
+    Lengths and bags leave few lines to compare; the likeliest come first and the first near one ends it, so no pairs are made.
+    """
     for b in batches:
         for k in range(b.num_rows):
             sides = [dict(zip((f.name for f in c.type.value_type), c[k].values.flatten(), strict=True)) for c in b.columns]
             lid, n, *place = ([s[x].to_numpy() for s in sides] for x in ("lid", "n", "_id", "_th", "no"))
             bag = [np.frombuffer(b"".join(s["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for s in sides]
+            mine, old = (s["line"] for s in sides)
             rank = np.empty(len(lid[0]) + len(lid[1]), np.int64)
             rank[np.lexsort([np.concatenate(x) for x in reversed(place)])] = np.arange(len(rank))
-            mine, others = rank[: len(lid[0])], rank[len(lid[0]) :]
+            first, others = rank[: len(lid[0])], rank[len(lid[0]) :]
+            found = []
             for i in range(len(lid[0])):
                 edits = np.maximum(n[0][i], n[1]) // EACH
-                may = np.flatnonzero((others < mine[i]) & (np.abs(n[1] - n[0][i]) <= edits) & (lid[1] != lid[0][i]))
-                o = lid[1][may[np.abs(bag[1][may] - bag[0][i]).sum(1) <= 2 * edits[may]]]
-                if len(o):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), lid[0][i])), pa.array(o)], names=["lid", "o"])
+                may = np.flatnonzero((others < first[i]) & (np.abs(n[1] - n[0][i]) <= edits) & (lid[1] != lid[0][i]))
+                apart = np.abs(bag[1][may] - bag[0][i]).sum(1)
+                by = np.argsort(apart, kind="stable")
+                by = by[apart[by] <= 2 * edits[may[by]]]
+                if len(by):
+                    text = mine[i].as_py()
+                    if any(near(text, old[j].as_py()) for j in may[by].tolist()):
+                        found.append(lid[0][i])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["lid"])
 
 
 def _rest(rows: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame | None:
-    """Pairs (lid, o) of what large groups leave open: each line that isn't near the earliest, and whose keys of small groups don't
-    settle it, with all earlier lines of some of its keys; None if there are none."""
+    """lid of the lines that large groups leave open and that are near an earlier one: each line that isn't near the earliest, and whose
+    keys of small groups don't settle it, is held against all earlier lines of some of its keys; None if there are none."""
     large = rows.join(rows.groupBy("k").agg(F.count("*").alias("c")).where(f"c > {SMALL}"), "k")
     left = large.join(found, "lid", "left_anti").groupBy("lid").agg(F.collect_list(F.struct("k", "c")).alias("large"))
     asks = stash(arrow_map(lines.join(left, "lid").select("lid", "line", "large"), _open, "lid long, k long"), "line-open")
     if asks.isEmpty():
         return None
     having = large.join(asks.select("k").distinct(), "k", "left_semi").join(asks.withColumn("asks", F.lit(True)), ["lid", "k"], "left")
-    bags = arrow_map(lines.join(having.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), _bags, "lid long, bag binary")
-    n = F.ceil(F.col("c") / BLOCK)
-    one = F.struct("lid", "n", "first._id", "first._th", "first.no", "bag")
-    blocks = having.join(bags, "lid").groupBy("k", F.pmod(F.xxhash64("lid"), n).alias("i"), n.alias("of")).agg(F.collect_list(F.when(F.col("asks"), one)).alias("open"), F.collect_list(one).alias("all"))
+    bags = arrow_map(lines.join(having.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), _bags, "lid long, line binary, bag binary")
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
+    sizes = having.join(lines.select("lid", F.octet_length("line").alias("size")), "lid").groupBy("k").agg(many.alias("many"))
+    n = F.col("many")
+    one = F.struct("lid", "n", "first._id", "first._th", "first.no", "line", "bag")
+    blocks = having.join(bags, "lid").join(sizes, "k").groupBy("k", F.pmod(F.xxhash64("lid"), n).alias("i"), n.alias("of")).agg(F.collect_list(F.when(F.col("asks"), one)).alias("open"), F.collect_list(one).alias("all"))
     blocks = stash(blocks, "line-blocks")
     asking = blocks.where("size(open) > 0").select("k", "open", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("i"))
-    return arrow_map(asking.join(blocks.select("k", "i", "all"), ["k", "i"]).select("open", "all"), _close, "lid long, o long")
+    return arrow_map(asking.join(blocks.select("k", "i", "all"), ["k", "i"]).select("open", "all"), _close, "lid long")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """lid of the distinct lines that have an earlier line near them. *firsts* has lid and first (place) of each.
 
     Lines that share a half with another go on to the deletion neighbourhood of one edit; lines that share a run are
-    held against the earliest that has it, and against all others that have it unless rarer runs settle it. The edit distance of all pairs is verified on the texts. Keys go packed to lanes, and only those
+    held against the earliest that has it, and against all others that have it unless rarer runs settle it. The edit distance is verified on the texts. Keys go packed to lanes, and only those
     that lines share come back as rows.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -436,7 +448,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     found = verified(_one_edit(variants, firsts).unionByName(_more_edits(runs)), lines)
     rest = _rest(runs, found, lines)
     if rest is not None:
-        found = found.unionByName(verified(rest, lines))
+        found = found.unionByName(rest)
     out = stash(found.distinct(), "line-all-near")
     drop(made, met)
     return out

@@ -797,3 +797,14 @@ def test_entries_are_ordered():
     got = list(zip(*(c.tolist() for c in B.ordered(parts)), strict=True))
     assert got == sorted({x for p in parts for x in zip(*(c.tolist() for c in p), strict=True)})
     assert [len(c) for c in B.ordered([tuple(c[:0] for c in parts[0])])] == [0, 0, 0]
+
+
+def test_open_lines_make_no_pairs():
+    """Of a group of near copies each line is named once a block, not with each line that it is near."""
+    pa, np = L.pa, L.np
+    base = prose(61, 60).split()
+    texts = [" ".join([*base[: k % 20], f"x{k}", *base[k % 20 + 1 :]]).encode() for k in range(80)] + [prose(62, 60).encode()]
+    bags = L.Lines([b"\n".join(texts)]).views()[0][0].bags()[1]
+    rows = [{"lid": 7 * k, "n": 60, "_id": k, "_th": 0, "no": 0, "line": t, "bag": bag.tobytes()} for k, (t, bag) in enumerate(zip(texts, bags, strict=True))]
+    got = pa.Table.from_batches(L._close([pa.RecordBatch.from_pylist([{"open": rows, "all": rows}])])).to_pydict()
+    assert got == {"lid": [7 * j for j in range(81) if any(L.near(x, texts[j]) for x in texts[:j])]} and len(got["lid"]) == 79
