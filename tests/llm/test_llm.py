@@ -808,3 +808,9 @@ def test_open_lines_make_no_pairs():
     rows = [{"lid": 7 * k, "n": 60, "_id": k, "_th": 0, "no": 0, "line": t, "bag": bag.tobytes()} for k, (t, bag) in enumerate(zip(texts, bags, strict=True))]
     got = pa.Table.from_batches(L._close([pa.RecordBatch.from_pylist([{"open": rows, "all": rows}])])).to_pydict()
     assert got == {"lid": [7 * j for j in range(81) if any(L.near(x, texts[j]) for x in texts[:j])]} and len(got["lid"]) == 79
+
+
+def test_lm_score_where_a_lane_has_nothing_to_answer(spark):
+    assert B.opened(B.shut(B.np.zeros(0, B.np.int16)), 0, B.np.int16)[0].tolist() == []
+    got = M.lm_score(table(spark, [(k, prose(k % 3, 30)) for k in range(20)])).collect()
+    assert len(got) == 20 and all(r["n_tokens"] == 31 and r["score"] < 0 for r in got)
