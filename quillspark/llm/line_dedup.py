@@ -122,12 +122,14 @@ class Lines:
         self.no = number - np.searchsorted(breaks, offsets)[self.text]
         self.begin, self.end = begin[self.start], end[self.start + self.n - 1] if len(begin) else begin
         self.ids, self.roll = ids, Rolling(ids)
-        self.other = Rolling(mix64(ids ^ _SALT["c"]))
+
+    def mark(self, roll: Rolling | None = None) -> np.ndarray:
+        """The 64 bits that name a line among near lines."""
+        return mix64((roll or self.roll).raw(self.start, self.start + self.n) ^ mix64(self.n.astype(np.uint64))).view(np.int64)
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each line's words; the first 64 name it among near lines."""
-        size = mix64(self.n.astype(np.uint64))
-        return tuple(mix64(r.raw(self.start, self.start + self.n) ^ size).view(np.int64) for r in (self.roll, self.other))
+        """128 bits of each line's words."""
+        return self.mark(), self.mark(Rolling(mix64(self.ids ^ _SALT["c"])))
 
     def words(self, k: int) -> bytes:
         """Line *k* with single spaces."""
@@ -211,7 +213,7 @@ def _keys(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     packs = Packs(lanes)
     for b in chunks(batches, most=1 << 20):
         lines = Lines([t.encode() for t in b.column(0).to_pylist()])
-        lid = lines.marks()[0]
+        lid = lines.mark()
         for v, at in lines.views():
             halves = v.half_keys()
             n = v.n.astype(np.uint32) << np.uint32(2)
@@ -237,7 +239,7 @@ def _met(entries: Entries, crowd: bool) -> pa.RecordBatch:
 
 
 def _variants(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of the lines that are picked, and the variants that they need, to their lanes."""
+    """The texts of the lines that are picked, and the variants that they need, to their lanes; lines go by their ranks."""
     packs = Packs(lanes)
 
     def sent(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -245,13 +247,14 @@ def _variants(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
     for b in chunks(batches, most=1 << 19):
         lines = Lines([t.encode() for t in b.column(0).to_pylist()])
-        kinds = np.zeros(len(lines.n), np.int64)
-        picks = [(r, p["no"], p["kinds"]) for r, ps in enumerate(b.column(1).to_pylist()) for p in ps]
+        kinds, lid = np.zeros((2, len(lines.n)), np.int64)
+        picks = b.column(1)
+        row = np.repeat(np.arange(b.num_rows), picks.value_lengths().to_numpy())
+        no, of, rank = (c.to_numpy() for c in picks.flatten().flatten())
         # Lines come by text and number, so a picked one is found by halving.
         place = lines.text.astype(np.int64) << 32 | lines.no
-        at = np.searchsorted(place, np.array([r << 32 | no for r, no, _ in picks], np.int64))
-        kinds[at] = [k for _, _, k in picks]
-        lid = lines.marks()[0]
+        at = np.searchsorted(place, row << 32 | no)
+        kinds[at], lid[at] = of, rank
         n = len(at)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(lid[at]), pa.array([lines.words(k) for k in at.tolist()], pa.binary())], names=["lane", "m", "data", "lid", "line"])
         for view, numbers in lines.views():
@@ -296,28 +299,28 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k not in at.values()), pa.array(n, pa.int64()), pa.array(texts, pa.string())], names=[*(x for x in b.schema.names if x not in at), "n_lines", "text"])
 
 
-def _one_edit(met: DataFrame, firsts: DataFrame) -> DataFrame:
+def _one_edit(met: DataFrame) -> DataFrame:
     """Pairs (lid, o): lines that meet in a variant, each with the earliest there.
 
     Those that meet in a variant and place are all within one edit of each other, so each is held against the earliest there
     alone; no pairs of a group are made.
     """
-    rows = stash(met.join(firsts.select("lid", "first"), "lid"), "line-met")
-    place, lacks = F.struct("first", "lid"), F.col("lacks")
+    rows = stash(met, "line-met")
+    lacks = F.col("lacks")
     # One column serves lines that lack a token; the other one whole lines at the end, and all lines at a token's place.
-    best = rows.groupBy("k").agg(F.min(F.when(~lacks, place)).alias("full"), F.min(F.when(lacks, place)).alias("lacking"))
+    best = rows.groupBy("k").agg(F.min(F.when(~lacks, F.col("lid"))).alias("full"), F.min(F.when(lacks, F.col("lid"))).alias("lacking"))
     other = F.when(F.col("ends") & ~lacks, F.col("lacking")).otherwise(F.col("full"))
-    return rows.join(best, "k").select("lid", "first", other.alias("o")).where("o.first < first").select("lid", F.col("o.lid").alias("o"))
+    return rows.join(best, "k").select("lid", other.alias("o")).where("o < lid")
 
 
 def _more_edits(rows: DataFrame) -> DataFrame:
     """Pairs (lid, o) of lines that share a key of runs: each with the earliest of the key, and in small groups with all earlier ones."""
-    group = rows.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("first", "lid", "n")).alias("o"))
+    group = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("lid").alias("o"), F.min_by("n", "lid").alias("m"))
     fits = f"abs(n - m) <= greatest(n, m) div {EACH}"
-    earliest = rows.join(group.select("k", "o"), "k").select("lid", "n", "first", F.col("o.first").alias("of"), F.col("o.lid").alias("o"), F.col("o.n").alias("m"))
+    earliest = rows.join(group.select("k", "o", "m"), "k").select("lid", "n", "o", "m")
     small = rows.join(group.where(f"c between 3 and {SMALL}").select("k"), "k")
-    every = small.join(small.select("k", F.col("lid").alias("o"), F.col("n").alias("m"), F.col("first").alias("of")), "k").select("lid", "n", "first", "of", "o", "m")
-    return earliest.unionByName(every).where(f"of < first and {fits}").select("lid", "o")
+    every = small.join(small.select("k", F.col("lid").alias("o"), F.col("n").alias("m")), "k").select("lid", "n", "o", "m")
+    return earliest.unionByName(every).where(f"o < lid and {fits}").select("lid", "o")
 
 
 def touched(starts: np.ndarray) -> int:
@@ -380,7 +383,8 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(b.num_rows):
             sides = [dict(zip((f.name for f in c.type.value_type), c[k].values.flatten(), strict=True)) for c in b.columns]
-            lid, n, *place = ([s[x].to_numpy() for s in sides] for x in ("lid", "n", "_id", "_th", "no"))
+            place = [x for x in sides[0] if x not in ("lid", "n", "line", "bag")]
+            lid, n, *place = ([s[x].to_numpy() for s in sides] for x in ("lid", "n", *place))
             bag = [np.frombuffer(b"".join(s["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for s in sides]
             mine, old = (s["line"] for s in sides)
             rank = np.empty(len(lid[0]) + len(lid[1]), np.int64)
@@ -413,7 +417,7 @@ def _rest(rows: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame | No
     many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
     sizes = having.join(lines.select("lid", F.octet_length("line").alias("size")), "lid").groupBy("k").agg(many.alias("many"))
     n = F.col("many")
-    one = F.struct("lid", "n", "first._id", "first._th", "first.no", "line", "bag")
+    one = F.struct("lid", "n", F.col("lid").alias("rank"), "line", "bag")
     blocks = having.join(bags, "lid").join(sizes, "k").groupBy("k", F.pmod(F.xxhash64("lid"), n).alias("i"), n.alias("of")).agg(F.collect_list(F.when(F.col("asks"), one)).alias("open"), F.collect_list(one).alias("all"))
     blocks = stash(blocks, "line-blocks")
     asking = blocks.where("size(open) > 0").select("k", "open", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("i"))
@@ -433,24 +437,29 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     packs = arrow_map(docs.select("text"), lambda it: _keys(first_lanes(lanes), it), Packs.SCHEMA)
     met = stash(meet(packs, lanes, _met, _MET), "line-shared")
     contested = met.groupBy("lid").agg(F.bit_or("kinds").alias("kinds"))
-    places = firsts.select("lid", "first.*").join(contested, "lid").groupBy("_id", "_th").agg(F.collect_list(F.struct("no", "kinds", "lid")).alias("picks"))
+    # From here on a line goes by its rank among the contested ones, in the order of their places: less is earlier.
+    ranked = firsts.select("lid", "first").join(contested, "lid").orderBy("first").select(F.monotonically_increasing_id().alias("rank"), "lid", "first", "kinds")
+    ranked = stash(ranked, "line-ranks")
+    rank = F.col("rank").alias("lid")
+    places = ranked.select("first.*", "kinds", "rank").groupBy("_id", "_th").agg(F.collect_list(F.struct("no", "kinds", "rank")).alias("picks"))
     texts = docs.select("_id", "_th", "text").join(places, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("text", "picks")
     made = stash(arrow_map(texts, lambda it: _variants(first_lanes(4 * lanes), it), f"{Packs.SCHEMA}, lid long, line binary"), "line-variants")
     lines = made.where("lid is not null").select("lid", "line")
     variants = meet(made.where("lane is not null").select("lane", "m", "data"), 4 * lanes, _variants_met, _VARIANT)
 
     def verified(pairs: DataFrame, line: DataFrame) -> DataFrame:
-        new = pairs.distinct().join(line, "lid")
-        both = new.join(line.select(F.col("lid").alias("o"), F.col("line").alias("old")), "o").select("lid", "line", "old")
+        # Both sides read the lines by lid, so that they are dealt once.
+        new = pairs.distinct().join(line, "lid").select(F.col("lid").alias("of"), F.col("line").alias("new"), "o")
+        both = new.join(line, F.col("o") == F.col("lid")).select("of", "new", "line")
         return stash(arrow_map(both, _verify, "lid long").distinct(), "line-near")
 
-    runs = stash(met.where(f"kinds = {FAR}").select("k", "lid", "n").distinct().join(firsts.select("lid", "first"), "lid"), "line-runs")
-    found = verified(_one_edit(variants, firsts).unionByName(_more_edits(runs)), lines)
+    runs = stash(met.where(f"kinds = {FAR}").select("k", "lid", "n").distinct().join(ranked.select("rank", "lid"), "lid").select("k", rank, "n"), "line-runs")
+    found = verified(_one_edit(variants).unionByName(_more_edits(runs)), lines)
     rest = _rest(runs, found, lines)
     if rest is not None:
         found = found.unionByName(rest)
-    out = stash(found.distinct(), "line-all-near")
-    drop(made, met)
+    out = stash(found.distinct().withColumnRenamed("lid", "rank").join(ranked.select("rank", "lid"), "rank").select("lid").distinct(), "line-all-near")
+    drop(made, met, ranked)
     return out
 
 
@@ -462,14 +471,15 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     empty, null ids come first; rows that repeat id and text are one document and get equal results.
     """
     rows = keyed(docs)
-    # The lines are read from the texts each time: hashing them again costs less than a table of them.
-    seen = arrow_map(rows.select("_id", "_th", "text"), _lines, "_id long, _th long, no int, lid long, rest long")
+    # Hashing the lines again costs more than a table of them, which has some 18 bytes a line.
+    seen = stash(arrow_map(rows.select("_id", "_th", "text"), _lines, "_id long, _th long, no int, lid long, rest long"), "line-places")
     place, mark = F.struct("_id", "_th", "no"), ["lid", "rest"]
     firsts = stash(seen.groupBy(*mark).agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
     near = near_lines(rows, firsts).withColumn("near", F.lit(True))
     flags = firsts.join(near, "lid", "left").where("n > 1 or near").select(*mark, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
     flags = stash(flags, "line-flags")
-    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = seen.count()
+    drop(firsts)
     hot, rest = flags.where(F.col("n") * HOT > total), flags.where(F.col("n") * HOT <= total)
     few = F.broadcast(hot)  # fewer than HOT rows, whatever the input
     marked = seen.join(few, mark).unionByName(seen.join(few.select(*mark), mark, "left_anti").join(rest, mark))

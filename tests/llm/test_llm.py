@@ -814,3 +814,11 @@ def test_lm_score_where_a_lane_has_nothing_to_answer(spark):
     assert B.opened(B.shut(B.np.zeros(0, B.np.int16)), 0, B.np.int16)[0].tolist() == []
     got = M.lm_score(table(spark, [(k, prose(k % 3, 30)) for k in range(20)])).collect()
     assert len(got) == 20 and all(r["n_tokens"] == 31 and r["score"] < 0 for r in got)
+
+
+def test_lines_are_hashed_once(spark):
+    """What names the lines is a table: the result reads texts for the rebuilding alone."""
+    rows = [(1, prose(1, 12) + "\nshort"), (2, "short\n" + prose(2, 9)), (3, "x " + prose(1, 12)), (None, "short"), (4, prose(1, 12))]
+    out = L.line_dedup(table(spark, rows))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in out.collect()} == {None: (0, 0), 1: (1, 0), 2: (1, 0), 3: (1, 1), 4: (1, 0)}
