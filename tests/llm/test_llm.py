@@ -822,3 +822,33 @@ def test_lines_are_hashed_once(spark):
     out = L.line_dedup(table(spark, rows))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in out.collect()} == {None: (0, 0), 1: (1, 0), 2: (1, 0), 3: (1, 1), 4: (1, 0)}
+
+
+def test_lm_answers_name_each_decision_once():
+    """Decisions that pairs of a context share, and those that are a pair's alone, aren't sent for each pair."""
+    pa, np = M.pa, M.np
+    texts = [f"{prose(k % 4, 40)} {prose(k, 20)}" for k in range(24)]
+    coder = M.Coder(sorted(Counter(w for t in texts for w in M._tokens(t)).items()), 0)
+    blocks = [{"bid": k, "text": texts[k : k + 12], "held_out": [False] * 12, "fit": [k > 0] * 12} for k in (0, 12)]
+    sent = list(M._ask(M._doc_reader(coder), 3, iter([pa.RecordBatch.from_pylist(blocks)])))
+    assert {o: [b.column(1).to_pylist() for b in M._ask(M._doc_reader(coder), 3, iter([pa.RecordBatch.from_pylist(blocks)]), (o,))] for o in (0, 1)} == {o: [[x for x in b.column(1).to_pylist() if x // 3 == o] for b in sent] for o in (0, 1)}
+    answers = pa.Table.from_batches(list(M._answer(coder.words, iter(pa.Table.from_batches(sent).sort_by("lane").to_batches())))).to_pylist()
+    every = got = 0
+    for b in blocks:
+        mine = [a for a in answers if a["bid"] == b["bid"]]
+        got += sum(a["n"] for a in mine)
+        for order in (0, 1):
+            known = np.concatenate([np.unpackbits(B.opened(a["known"], -(-a["pairs"] // 8), np.uint8)[0])[: a["pairs"]] for a in mine if a["lane"] // 3 == order])
+            every += int((coder.words.length[M.asked(M._doc_reader(coder)(b), order)[1]] * known).sum())
+    assert 0 < got < every / 3
+
+
+def test_lm_spelling_is_the_same_in_all_blocks():
+    """What a word's bytes are asked for doesn't depend on its place in a block."""
+    words = [w.encode() for w in dict.fromkeys(prose(3, 30).split())]
+    coder = M.Coder([(w, 1) for w in words], 0)
+    read = lambda ws: coder.spell(ws, [True] * len(ws), [False] * len(ws))
+    whole = read(words)
+    for k, w in enumerate(words):
+        for order in (0, 1):
+            assert (read([w]).contexts[order] == whole.contexts[order][whole.firsts[k] : whole.firsts[k + 1]]).all()
