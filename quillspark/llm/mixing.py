@@ -17,6 +17,8 @@ BLOCK = 1024
 STEP, PERIOD = 1_327_217_885, 2**31
 #: Slots of a run that is ranked by itself, strips of each source's shuffle, and strips of the unit interval.
 RUN, STRIPS, BANDS = 4096, 4096, 4096
+#: Rows of a table that a task writes at least, if there are more tasks than cores.
+WRITTEN = 1 << 18
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -93,6 +95,15 @@ def shuffled(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(strips, ["sid", "strip"]).select("sid", "doc_id", "size", (F.col("before") + F.col("at")).alias("start"))
 
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """*df*, which has about so many rows, in no more parts than are worth a file; these grow with the rows.
+
+    Where nothing joins small partitions of a shuffle, each would be a task that writes a few rows, and each file has processes forked from the
+    executor to set its mode, which show the executor's memory again.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // WRITTEN)))
+
+
 def dealt(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, documents in their source's shuffled stream, what each slot draws): see stream() and mix()."""
     sized = stash(sizes(docs), "mix-sizes")
@@ -100,7 +111,7 @@ def dealt(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Da
     per = per.withColumn("words", F.floor(F.col("target") + 1e-6).cast("long")).withColumn("need", F.ceil(F.col("words") / block))
     per = stash(per, "mix-sources")
     words = per.agg(F.sum("words")).first()[0] or 0
-    places = stash(shuffled(sized, per.select(F.col("source").alias("name"), "sid")), "mix-places")
+    places = stash(in_few(shuffled(sized, per.select(F.col("source").alias("name"), "sid")), sized.count()), "mix-places")
     slots = schedule(per.select("source", "sid", "words", "need"), -(-words // block))
     # A source's stream comes again and again, and rank r draws words r * block and on of it; the last rank ends with the target.
     turns = places.where("size > 0").join(per.select("sid", "source_size", "words"), "sid").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
@@ -142,4 +153,5 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     none = F.lit(None).cast("long")
     out = filled.unionByName(places.where("size = 0").select("sid", "doc_id", "size", none.alias("taken"), none.alias("first_slot"), none.alias("n_draws")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.join(per.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_draws"))
+    out = in_few(out.join(per.select("sid", "source", "source_size", "target"), "sid"), places.count())
+    return out.select("doc_id", "source", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_draws"))

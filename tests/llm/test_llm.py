@@ -183,6 +183,23 @@ def test_stream_of_the_mix(spark):
         assert r["taken"] == sum(x[5] - x[4] for x in mine) and r["n_draws"] == len(mine) and r["first_slot"] == min((x[0] for x in mine), default=None)
 
 
+def test_mixing_writes_no_more_files_than_rows_need(spark):
+    """Where shuffled partitions aren't joined, each would be a file, and each file forks processes from the executor."""
+    rows = [(k, prose(k, 5 + k % 37), "abc"[k % 3]) for k in range(300)] + [(900, None, None)]
+    want = sorted(map(repr, X.mix(table(spark, rows), block=16).collect()))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = X.mix(table(spark, rows), block=16)
+        assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(map(repr, out.collect())) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def brute_suffix(texts, window):
     count = Counter()
     for t in texts:
