@@ -860,6 +860,28 @@ def test_lm_answers_name_each_decision_once():
     assert 0 < got < every / 3
 
 
+def test_lm_slices_of_blocks_are_even(spark):
+    """Eight tasks with five blocks and one of rows that are fitted on; by the block's number in its task alone half of them were in one slice."""
+    bids = [task << 33 | k << 1 | fit for task in range(8) for fit, n in ((0, 5), (1, 1)) for k in range(n)]
+    got = spark.createDataFrame([(b,) for b in bids], "bid long").selectExpr(f"{M.slice_of(4)} AS s").groupBy("s").count().collect()
+    assert sorted(r["s"] for r in got) == [0, 1, 2, 3] and {r["count"] for r in got} == {12}
+
+
+def test_lm_decisions_are_spread_in_pieces(monkeypatch):
+    """Places of the decisions of all pairs of a block aren't held at once."""
+    np = M.np
+    tree, rng = M.Tree(list(range(1, 5001))), np.random.default_rng(5)
+    y = rng.integers(0, 5001 - 1, 60_000)
+    none, own = np.zeros(len(y), np.int64), rng.integers(-9, 9, len(y)).astype(np.int16)
+    whole = M.spread(tree, y, none, none, own, np.zeros(0, np.int16))
+    monkeypatch.setattr(M, "SPREAD", 5000)
+    tracemalloc.start()
+    assert (M.spread(tree, y, none, none, own, np.zeros(0, np.int16)) == whole).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * whole.nbytes
+
+
 def test_lm_spelling_is_the_same_in_all_blocks():
     """What a word's bytes are asked for doesn't depend on its place in a block."""
     words = [w.encode() for w in dict.fromkeys(prose(3, 30).split())]
