@@ -274,3 +274,45 @@ def test_index_takes_the_words_of_the_analysis(stop_words):
             for t in tokens:
                 want.setdefault(t.term, []).append(7 + t.position)
             assert have == want
+
+
+def test_a_batch_that_replaces_all_rewrites_nothing(spark, tmp_path):
+    """Segments without a living document are left behind: no merge writes the new one again, and the dictionary has no trace of them."""
+    options = validate_options(["text"], surface_terms=True)
+    index = TextIndex.open(spark, str(tmp_path / "index"), options)
+    for batch, word in enumerate(("oak", "elm")):
+        rows = [(str(i), f"{word} tree {i}") for i in range(5 - batch)]
+        gone = spark.createDataFrame([("4",)], "id string") if batch else None
+        index.apply(as_records(spark.createDataFrame(rows, "id string, text string"), options), gone)
+        index.publish(str(batch))
+    assert [s["seg"] for s in index.manifest["segments"]] == ["2"] and index.manifest["dead"] == []
+    assert index.tables.n_docs == 4 and {(r["term"], r["df"]) for r in index.tables.terms.where("not surface").collect()} == {("elm", 4), ("tree", 4), *((str(i), 1) for i in range(4))}
+    assert {r["id"] for r in Searcher(index.tables).matches({"text": "elm oak"}).collect()} == {"0", "1", "2", "3"}
+
+
+def test_postings_are_those_of_the_analysis(monkeypatch):
+    import pyarrow as pa
+    from quillspark.functions.analysis import both
+    from quillspark.sources import index as module
+
+    monkeypatch.setattr(module, "_AT_ONCE", 5)
+    rules = [{"source": "lamp", "replacements": ["torch", "oil"]}, {"source": "torch", "replacements": ["fire"]}]
+    options = validate_options(["title", "text"], surface_terms=True, synonyms=rules)
+    texts = [["dog's S 's x's lamp's torch", "lamp oil"], [], ["the lamps of the gardener’s ﬁne Ｇａrden"], ["", "a b lamp"], ["a" * 50 + " b" + "é" * 30]]
+    title = [["Lamp lamp"], ["'s"], [], ["don'ś é's"], [""]]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("vwxyz")), *(pa.array(c, pa.list_(pa.string())) for c in (title, texts))], names=["id", "t_title", "t_text"])
+    got = [tuple(r.values()) for b in module._postings(options, iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    want = {}
+    for k, col in enumerate((title, texts)):
+        for i, values in zip("vwxyz", col, strict=True):
+            base, found = 0, ([], [])
+            for v in values:
+                shown, stems, last = both(v, True, dict(options.synonyms))
+                for to, tokens in zip(found, (stems, shown), strict=True):
+                    to += [(t.term, base + t.position) for t in tokens]
+                base += last + 2
+            for raw in (False, True):
+                for term in {t for t, _ in found[raw]}:
+                    at = [p for t, p in found[raw] if t == term]
+                    want[raw, k, term, i] = (len(at), None if raw else at, len(found[raw]))
+    assert len(got) == len(want) and {r[:4]: r[4:] for r in got} == want
