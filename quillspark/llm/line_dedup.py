@@ -438,7 +438,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     met = stash(meet(packs, lanes, _met, _MET), "line-shared")
     contested = met.groupBy("lid").agg(F.bit_or("kinds").alias("kinds"))
     # From here on a line goes by its rank among the contested ones, in the order of their places: less is earlier.
-    ranked = firsts.select("lid", "first").join(contested, "lid").orderBy("first").select(F.monotonically_increasing_id().alias("rank"), "lid", "first", "kinds")
+    ranked = firsts.select("lid", "first").join(contested, "lid").orderBy("first._id", "first._th", "first.no").select(F.monotonically_increasing_id().alias("rank"), "lid", "first", "kinds")
     ranked = stash(ranked, "line-ranks")
     rank = F.col("rank").alias("lid")
     places = ranked.select("first.*", "kinds", "rank").groupBy("_id", "_th").agg(F.collect_list(F.struct("no", "kinds", "rank")).alias("picks"))
@@ -483,7 +483,8 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     hot, rest = flags.where(F.col("n") * HOT > total), flags.where(F.col("n") * HOT <= total)
     few = F.broadcast(hot)  # fewer than HOT rows, whatever the input
     marked = seen.join(few, mark).unionByName(seen.join(few.select(*mark), mark, "left_anti").join(rest, mark))
-    gone = marked.where(F.col("near") | (place != F.col("first"))).groupBy("_id", "_th").agg(F.collect_set("no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
+    # Two sets are one pass; a distinct count would group all rows by number first.
+    gone = marked.where(F.col("near") | (place != F.col("first"))).groupBy("_id", "_th").agg(F.collect_set("no").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("no")))).alias("n_near"))
     carried = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep or [])]
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.col("doc_id").alias("_doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     out = named.join(gone, ["_id", "_th"], "left").select("_doc_id", *(f"keep_{k}" for k in range(len(carried))), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "gone", "text")

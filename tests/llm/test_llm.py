@@ -891,3 +891,14 @@ def test_lm_spelling_is_the_same_in_all_blocks():
     for k, w in enumerate(words):
         for order in (0, 1):
             assert (read([w]).contexts[order] == whole.contexts[order][whole.firsts[k] : whole.firsts[k + 1]]).all()
+
+
+def test_removed_lines_are_counted_in_one_pass(spark):
+    """A distinct count groups all removed lines by number first; n_near is still of different lines."""
+    from quillspark.llm.line_dedup import line_dedup
+
+    line = "the old keeper of the lamp went down to the river at dawn"
+    rows = [(1, line), (2, f"{line.replace('dawn', 'dusk')}\n{line}\nshort"), (2, f"{line.replace('dawn', 'dusk')}\n{line}\nshort")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_near"], r["text"]) for r in got.collect()) == [(1, 0, 0, line), (2, 2, 1, "short"), (2, 2, 1, "short")]
