@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ._base import LANE, NO_ID, Entries, Packs, Rolling, arrow_map, chunks, drop, first_lanes, groups, keyed, meet, mix64, stash, words_of
@@ -25,6 +25,8 @@ RUN, GRAMS = 13, {"w": 6, "c": 12}
 #: Lines of a key that are all held against each other as pairs of rows. Those of larger groups meet the earliest; what that leaves open is held
 #: against all lines of the group, BLOCK lines or so, and BLOCK_BYTES, by as many, by bags of tokens of BINS counts first, then by their texts.
 SMALL, BLOCK, BLOCK_BYTES, BINS = 16, 2048, 1 << 22, 32
+#: Bytes of contested lines whose variants are made at once.
+PICKED = 1 << 19
 #: A line is hot if more than one occurrence in so many is of it, so there are fewer hot lines than that.
 HOT = 1000
 #: Which variants a line needs: itself (for lines of one word more), without a word at its place (for lines of as
@@ -199,7 +201,7 @@ def within_one(a: list, b: list) -> bool:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Place and mark of each line with words."""
     for b in chunks(batches):
-        lines = Lines([t.encode() for t in b.column(2).to_pylist()])
+        lines = Lines(b.column(2).cast(pa.binary()).to_pylist())
         row = pa.array(lines.text)
         yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(lines.no.astype(np.int32)), *map(pa.array, lines.marks())], names=["_id", "_th", "no", "lid", "rest"])
 
@@ -212,7 +214,7 @@ def _keys(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """The half keys and run keys of all lines, with the lines' marks, to their lanes."""
     packs = Packs(lanes)
     for b in chunks(batches, most=1 << 20):
-        lines = Lines([t.encode() for t in b.column(0).to_pylist()])
+        lines = Lines(b.column(0).cast(pa.binary()).to_pylist())
         lid = lines.mark()
         for v, at in lines.views():
             halves = v.half_keys()
@@ -238,6 +240,25 @@ def _met(entries: Entries, crowd: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(lid[some]), pa.array((tag[some] >> np.uint32(2)).astype(np.int32)), pa.array(kinds[some])], names=["k", "lid", "n", "kinds"])
 
 
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(texts, kinds, ranks) of the lines that are picked, about PICKED bytes of them at a time; the other lines are not even split into words."""
+    for b in batches:
+        no, kinds, rank = (c.to_numpy() for c in b.column(1).flatten().flatten())
+        held: list[bytes] = []
+        begin = size = at = 0
+        for text, n in zip(b.column(0).cast(pa.binary()), b.column(1).value_lengths().to_pylist(), strict=True):
+            lines = text.as_py().split(b"\n")
+            for k in no[at : at + n].tolist():
+                held.append(lines[k])
+                size += len(lines[k])
+            at += n
+            if size > PICKED:
+                yield held, kinds[begin:at], rank[begin:at]
+                held, begin, size = [], at, 0
+        if held:
+            yield held, kinds[begin:at], rank[begin:at]
+
+
 def _variants(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of the lines that are picked, and the variants that they need, to their lanes; lines go by their ranks."""
     packs = Packs(lanes)
@@ -245,18 +266,10 @@ def _variants(lanes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     def sent(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names=["lane", "m", "data", "lid", "line"])
 
-    for b in chunks(batches, most=1 << 19):
-        lines = Lines([t.encode() for t in b.column(0).to_pylist()])
-        kinds, lid = np.zeros((2, len(lines.n)), np.int64)
-        picks = b.column(1)
-        row = np.repeat(np.arange(b.num_rows), picks.value_lengths().to_numpy())
-        no, of, rank = (c.to_numpy() for c in picks.flatten().flatten())
-        # Lines come by text and number, so a picked one is found by halving.
-        place = lines.text.astype(np.int64) << 32 | lines.no
-        at = np.searchsorted(place, row << 32 | no)
-        kinds[at], lid[at] = of, rank
-        n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(lid[at]), pa.array([lines.words(k) for k in at.tolist()], pa.binary())], names=["lane", "m", "data", "lid", "line"])
+    for texts, kinds, lid in _picked(batches):
+        # Each of them has words, so it is one line.
+        lines, n = Lines(texts), len(texts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(lid), pa.array([lines.words(k) for k in range(n)], pa.binary())], names=["lane", "m", "data", "lid", "line"])
         for view, numbers in lines.views():
             line, key, token = view.variants(kinds[numbers])
             side = np.maximum(token, -1)
@@ -313,14 +326,24 @@ def _one_edit(met: DataFrame) -> DataFrame:
     return rows.join(best, "k").select("lid", other.alias("o")).where("o < lid")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows (k, lid, n), each once, with the number of rows of its key (c) and the earliest line of them (o, with m tokens): dealt and sorted once for
+    all that is asked of groups, instead of an aggregate and a join for each question.
+
+    Only keys of crowds have rows that repeat. These count more than once in c, which says which groups are large and which keys rarer.
+    """
+    by = Window.partitionBy("k").orderBy("lid")
+    group = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rows.select("k", "lid", "n", F.count("*").over(group).alias("c"), F.first("lid").over(group).alias("o"), F.first("n").over(group).alias("m"), F.lag("lid").over(by).alias("before"))
+    return out.where("before is null or before <> lid").drop("before")
+
+
 def _more_edits(rows: DataFrame) -> DataFrame:
-    """Pairs (lid, o) of lines that share a key of runs: each with the earliest of the key, and in small groups with all earlier ones."""
-    group = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("lid").alias("o"), F.min_by("n", "lid").alias("m"))
+    """Pairs (lid, o) of lines that share a key of runs, of rows from _grouped(): each with the earliest of the key, and in small groups with all earlier ones."""
     fits = f"abs(n - m) <= greatest(n, m) div {EACH}"
-    earliest = rows.join(group.select("k", "o", "m"), "k").select("lid", "n", "o", "m")
-    small = rows.join(group.where(f"c between 3 and {SMALL}").select("k"), "k")
-    every = small.join(small.select("k", F.col("lid").alias("o"), F.col("n").alias("m")), "k").select("lid", "n", "o", "m")
-    return earliest.unionByName(every).where(f"o < lid and {fits}").select("lid", "o")
+    small = rows.where(f"c between 3 and {SMALL}").groupBy("k").agg(F.collect_list(F.struct("lid", "n")).alias("group"))
+    every = small.select("group", F.explode("group").alias("a")).select("a", F.explode("group").alias("b")).select("a.lid", "a.n", F.col("b.lid").alias("o"), F.col("b.n").alias("m"))
+    return rows.select("lid", "n", "o", "m").unionByName(every).where(f"o < lid and {fits}").select("lid", "o")
 
 
 def touched(starts: np.ndarray) -> int:
@@ -372,7 +395,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(b.column(1).to_pylist())
         for v, at in lines.views():
             line, bags = v.bags()
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(lines.text[at[line]])) for c in b.columns), pa.array([x.tobytes() for x in bags], pa.binary())], names=["lid", "line", "bag"])
+            lid, text = (c.take(pa.array(lines.text[at[line]])) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([lid, text, pa.compute.binary_length(text).cast(pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], names=["lid", "line", "size", "bag"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,38 +431,39 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rest(rows: DataFrame, found: DataFrame, lines: DataFrame) -> DataFrame | None:
     """lid of the lines that large groups leave open and that are near an earlier one: each line that isn't near the earliest, and whose
     keys of small groups don't settle it, is held against all earlier lines of some of its keys; None if there are none."""
-    large = rows.join(rows.groupBy("k").agg(F.count("*").alias("c")).where(f"c > {SMALL}"), "k")
+    large = rows.where(f"c > {SMALL}").select("k", "lid", "n", "c")
     left = large.join(found, "lid", "left_anti").groupBy("lid").agg(F.collect_list(F.struct("k", "c")).alias("large"))
     asks = stash(arrow_map(lines.join(left, "lid").select("lid", "line", "large"), _open, "lid long, k long"), "line-open")
     if asks.isEmpty():
         return None
-    having = large.join(asks.select("k").distinct(), "k", "left_semi").join(asks.withColumn("asks", F.lit(True)), ["lid", "k"], "left")
-    bags = arrow_map(lines.join(having.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), _bags, "lid long, line binary, bag binary")
+    having = stash(large.join(asks.select("k").distinct(), "k", "left_semi").join(asks.withColumn("asks", F.lit(True)), ["lid", "k"], "left"), "line-having")
+    bags = arrow_map(lines.join(having.select("lid").distinct(), "lid", "left_semi").select("lid", "line"), _bags, "lid long, line binary, size long, bag binary")
+    bags = stash(bags, "line-bags")
     many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
-    sizes = having.join(lines.select("lid", F.octet_length("line").alias("size")), "lid").groupBy("k").agg(many.alias("many"))
+    sizes = having.join(bags.select("lid", "size"), "lid").groupBy("k").agg(many.alias("many"))
     n = F.col("many")
     one = F.struct("lid", "n", F.col("lid").alias("rank"), "line", "bag")
     blocks = having.join(bags, "lid").join(sizes, "k").groupBy("k", F.pmod(F.xxhash64("lid"), n).alias("i"), n.alias("of")).agg(F.collect_list(F.when(F.col("asks"), one)).alias("open"), F.collect_list(one).alias("all"))
     blocks = stash(blocks, "line-blocks")
+    drop(having, bags)
     asking = blocks.where("size(open) > 0").select("k", "open", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("i"))
     return arrow_map(asking.join(blocks.select("k", "i", "all"), ["k", "i"]).select("open", "all"), _close, "lid long")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """lid of the distinct lines that have an earlier line near them. *firsts* has lid and first (place) of each.
+def near_lines(docs: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
+    """lid of the distinct lines that have an earlier line near them. *firsts* has lid and first (place) of each; the texts have *size* bytes.
 
     Lines that share a half with another go on to the deletion neighbourhood of one edit; lines that share a run are
     held against the earliest that has it, and against all others that have it unless rarer runs settle it. The edit distance is verified on the texts. Keys go packed to lanes, and only those
     that lines share come back as rows.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A line has about a key for every 25 bytes, and if it is contested some variants for each.
     lanes = size // (25 * LANE) + 1
     packs = arrow_map(docs.select("text"), lambda it: _keys(first_lanes(lanes), it), Packs.SCHEMA)
     met = stash(meet(packs, lanes, _met, _MET), "line-shared")
     contested = met.groupBy("lid").agg(F.bit_or("kinds").alias("kinds"))
     # From here on a line goes by its rank among the contested ones, in the order of their places: less is earlier.
-    ranked = firsts.select("lid", "first").join(contested, "lid").orderBy("first._id", "first._th", "first.no").select(F.monotonically_increasing_id().alias("rank"), "lid", "first", "kinds")
+    ranked = firsts.select("lid", "first").join(contested.hint("shuffle_hash"), "lid").orderBy("first._id", "first._th", "first.no").select(F.monotonically_increasing_id().alias("rank"), "lid", "first", "kinds")
     ranked = stash(ranked, "line-ranks")
     rank = F.col("rank").alias("lid")
     places = ranked.select("first.*", "kinds", "rank").groupBy("_id", "_th").agg(F.collect_list(F.struct("no", "kinds", "rank")).alias("picks"))
@@ -453,7 +478,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         both = new.join(line, F.col("o") == F.col("lid")).select("of", "new", "line")
         return stash(arrow_map(both, _verify, "lid long").distinct(), "line-near")
 
-    runs = stash(met.where(f"kinds = {FAR}").select("k", "lid", "n").distinct().join(ranked.select("rank", "lid"), "lid").select("k", rank, "n"), "line-runs")
+    runs = stash(_grouped(met.where(f"kinds = {FAR}").select("k", "lid", "n").join(ranked.select("rank", "lid").hint("shuffle_hash"), "lid").select("k", rank, "n")), "line-runs")
     found = verified(_one_edit(variants).unionByName(_more_edits(runs)), lines)
     rest = _rest(runs, found, lines)
     if rest is not None:
@@ -472,22 +497,25 @@ def line_dedup(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     rows = keyed(docs)
     # Hashing the lines again costs more than a table of them, which has some 18 bytes a line.
-    seen = stash(arrow_map(rows.select("_id", "_th", "text"), _lines, "_id long, _th long, no int, lid long, rest long"), "line-places")
+    bytes_ = Observation()
+    read = rows.select("_id", "_th", "text").observe(bytes_, F.sum(F.octet_length("text")).alias("size"))
+    seen = stash(arrow_map(read, _lines, "_id long, _th long, no int, lid long, rest long"), "line-places")
     place, mark = F.struct("_id", "_th", "no"), ["lid", "rest"]
     firsts = stash(seen.groupBy(*mark).agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
-    near = near_lines(rows, firsts).withColumn("near", F.lit(True))
-    flags = firsts.join(near, "lid", "left").where("n > 1 or near").select(*mark, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    near = near_lines(rows, firsts, bytes_.get["size"] or 0).withColumn("near", F.lit(True))
+    # The smaller side of a join is hashed, a few rows for each partition, so that the larger one, or its texts, needn't be sorted.
+    flags = firsts.join(near.hint("shuffle_hash"), "lid", "left").where("n > 1 or near").select(*mark, "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
     flags = stash(flags, "line-flags")
     total = seen.count()
     drop(firsts)
     hot, rest = flags.where(F.col("n") * HOT > total), flags.where(F.col("n") * HOT <= total)
     few = F.broadcast(hot)  # fewer than HOT rows, whatever the input
-    marked = seen.join(few, mark).unionByName(seen.join(few.select(*mark), mark, "left_anti").join(rest, mark))
+    marked = seen.join(few, mark).unionByName(seen.join(few.select(*mark), mark, "left_anti").join(rest.hint("shuffle_hash"), mark))
     # Two sets are one pass; a distinct count would group all rows by number first.
     gone = marked.where(F.col("near") | (place != F.col("first"))).groupBy("_id", "_th").agg(F.collect_set("no").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("no")))).alias("n_near"))
     carried = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep or [])]
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"), F.col("doc_id").alias("_doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried)
-    out = named.join(gone, ["_id", "_th"], "left").select("_doc_id", *(f"keep_{k}" for k in range(len(carried))), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "gone", "text")
+    out = named.join(gone.hint("shuffle_hash"), ["_id", "_th"], "left").select("_doc_id", *(f"keep_{k}" for k in range(len(carried))), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "gone", "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name not in ("gone", "text"))
     got = arrow_map(out, _rebuild, f"{fields}, n_lines long, text string")
     return got.select(F.col("_doc_id").alias("doc_id"), *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep or [])), "n_lines", "n_removed", "n_near", "text")

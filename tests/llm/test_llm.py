@@ -1,6 +1,7 @@
 """Each operator against brute force, on small tables with all the awkward rows."""
 
 import hashlib
+import random
 import re
 import tracemalloc
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 from math import log10
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import _base as B
@@ -902,3 +904,29 @@ def test_removed_lines_are_counted_in_one_pass(spark):
     got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted((r["doc_id"], r["n_removed"], r["n_near"], r["text"]) for r in got.collect()) == [(1, 0, 0, line), (2, 2, 1, "short"), (2, 2, 1, "short")]
+
+
+def test_groups_of_runs_are_sorted_once(spark):
+    r = random.Random(17)
+    rows = [(k, lid, 40 + lid % 7) for k in range(12) for lid in r.sample(range(90), 2 + 3 * k)]
+    rows += [x for x in rows if x[0] == 11][:5]  # of a crowd, some come twice
+    got = [tuple(x) for x in L._grouped(spark.createDataFrame(rows, "k long, lid long, n int")).select("k", "lid", "n", "c", "o", "m").collect()]
+    first = {k: min(lid for j, lid, _ in rows if j == k) for k in range(12)}
+    assert sorted(got) == sorted({(k, lid, n, sum(j == k for j, _, _ in rows), first[k], 40 + first[k] % 7) for k, lid, n in rows})
+    groups = L._grouped(spark.createDataFrame(rows, "k long, lid long, n int"))
+    small = {k for k in range(12) if 3 <= sum(j == k for j, _, _ in rows) <= L.SMALL}
+    pairs = {(a, b) for k, a, n in rows for j, b, m in rows if j == k and b < a and abs(n - m) <= max(n, m) // L.EACH and (k in small or b == first[k])}
+    assert {tuple(x) for x in L._more_edits(groups).collect()} == pairs
+    assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_only_picked_lines_are_split_into_words(monkeypatch):
+    texts = ["one two\n\n three four\nfive", "six", "seven\neight é nine"]
+    picks = [[{"no": 3, "kinds": 1, "rank": 5}, {"no": 2, "kinds": 8, "rank": 4}], [{"no": 0, "kinds": 2, "rank": 9}], [{"no": 1, "kinds": 1, "rank": 1}]]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(picks, pa.list_(pa.struct([("no", pa.int32()), ("kinds", pa.int32()), ("rank", pa.int64())])))], names=["text", "picks"])
+    read, lines = [], L.Lines
+    monkeypatch.setattr(L, "Lines", lambda x: read.extend(x) or lines(x))
+    monkeypatch.setattr(L, "PICKED", 6)
+    got = {r["lid"]: r["line"] for out in L._variants(1, [b]) for r in out.to_pylist() if r["lid"] is not None}
+    assert got == {5: b"five", 4: b"three four", 9: b"six", 1: "eight é nine".encode()}
+    assert sorted(x.strip() for x in read) == sorted(got.values())
