@@ -930,3 +930,49 @@ def test_only_picked_lines_are_split_into_words(monkeypatch):
     got = {r["lid"]: r["line"] for out in L._variants(1, [b]) for r in out.to_pylist() if r["lid"] is not None}
     assert got == {5: b"five", 4: b"three four", 9: b"six", 1: "eight é nine".encode()}
     assert sorted(x.strip() for x in read) == sorted(got.values())
+
+
+def test_lm_answers_are_counts():
+    """Counts going down the tree take less than log odds of each decision; they are those of the context, far above a byte too."""
+    np, pa = M.np, M.pa
+    tree, rng = M.Tree([1 + 20_000 // (k + 1) for k in range(3000)]), np.random.default_rng(3)
+    ctx = np.sort(M.mix64(rng.integers(0, 400, 60_000).astype(np.uint64)))
+    y = np.minimum(rng.zipf(1.3, len(ctx)) - 1, 2999).astype(np.int32)
+    by = np.lexsort((y, ctx))
+    first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (np.diff(y[by]) != 0)]))
+    n = np.diff(first, append=len(by)) * np.where(y[by][first] < 2, 1000, 1)
+    c, y = ctx[by][first], y[by][first]
+    pack = M.shut(c, y, n.astype(np.int32), np.zeros(len(c), np.int32), np.ones(len(c), np.uint8))
+    row = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([pack], pa.binary())], names=["bid", "lane", "n", "pairs"])
+    (answer,) = pa.Table.from_batches(list(M._answer(tree, iter([row])))).to_pylist()
+    assert sum(len(v) for v in answer.values() if isinstance(v, bytes)) < 1.4 * answer["n"]
+    deep, roots, others = M.heard(answer["full"])
+    code = np.lexsort((tree.code[y], c))
+    assert (roots == np.add.reduceat(n, np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])))).all() and roots.max() > 10_000
+    same = M.shared(tree, c[code], y[code])
+    assert (M.walked(tree, y[code], same, deep, roots, others)[0] == M.pack(np.zeros(len(c)), n[code])).all()
+
+
+def test_lm_blocks_are_split_into_tokens_once(monkeypatch):
+    np, pa = M.np, M.pa
+    texts = ["The cat  sat", "", "x the\tTHE unseen", "unseen x"]
+    coder = M.Coder([(b"the", 3), (b"", 4), (b"cat", 1)], 5)
+    row = {"bid": 5, "text": texts, "doc_id": [1, None, 3, 4], "held_out": [False, True, False, False], "fit": [False] * 4}
+    batch = pa.RecordBatch.from_pylist([row])
+    want = M._doc_reader(coder)(row)
+    (stored,) = next(M._stored(coder, iter([batch]))).to_pylist()
+    monkeypatch.setattr(M, "_tokens", None)
+    got = M._doc_reader(coder)(stored)
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(got, want, strict=True))
+    assert M._symbols(stored)[1] == [b"sat", b"x", b"unseen", b"unseen", b"x"] and stored["sizes"] == [4, 1, 5, 3]
+
+
+def test_lm_pairs_in_order():
+    np = M.np
+    rng = np.random.default_rng(9)
+    for most in (1, 5, 2**62):
+        for n in (0, 1, 7, 5000):
+            c = rng.integers(0, most, n).astype(np.uint64) * np.uint64(4 if most > 5 else 1)
+            c[: n // 2] = c[n - n // 2 :]
+            y = rng.integers(0, 2000, n).astype(np.int32)
+            assert (M.in_order(c, y) == np.lexsort((y, c))).all()
